@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import read_table, word_count
+from quillon.llm.common import materialise, read_table, word_count
 
 SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
@@ -124,7 +124,8 @@ def mix_sources(df: DataFrame, block: int = BLOCK, seed: str = SEED) -> tuple[Da
     at, _row and ``taken``, the words that the mix takes of them.
     """
     spark = df.sparkSession
-    targets = source_targets(df.select("source", "size"))
+    df = materialise(df, "mix-sizes")  # narrow; the texts are not read again
+    targets = materialise(source_targets(df.select("source", "size")), "mix-targets")
     total = df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     slots = schedule(spark, targets, -(-3 * total // (2 * block)) + CHUNK, block).select(F.col("source").alias("_s"), F.col("block").alias("_k"), "slot")
     goals = targets.select(F.col("source").alias("_g"), "source_size", "target")
