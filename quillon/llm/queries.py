@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, mixing, quality_rules, secret_scan, sharding
+from quillon.llm import decontamination, mixing, near_duplicates, quality_rules, secret_scan, sharding
 
 QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
     "op4_decision_list": quality_rules.op4_decision_list,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_blob_ledger": secret_scan.op6_blob_ledger,
+    "op7_minhash_near_dedup": near_duplicates.op7_minhash_near_dedup,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
 }
 
