@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, mixing, near_duplicates, quality_rules, secret_scan, sharding, toxicity
+from quillon.llm import decontamination, mixing, near_duplicates, quality_rules, secret_scan, sharding, token_files, toxicity
 
 QUERIES = {
     "op2_kneser_ney_toxicity": toxicity.op2_kneser_ney_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_blob_ledger": secret_scan.op6_blob_ledger,
     "op7_minhash_near_dedup": near_duplicates.op7_minhash_near_dedup,
+    "op9_zstd_token_files": token_files.op9_zstd_token_files,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
 }
 
