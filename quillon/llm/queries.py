@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, mixing, near_duplicates, quality_rules, secret_scan, sharding, token_files, toxicity
+from quillon.llm import decontamination, mixing, near_duplicates, quality_rules, secret_scan, sharding, suffix_lm, token_files, toxicity
 
 QUERIES = {
     "op2_kneser_ney_toxicity": toxicity.op2_kneser_ney_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_blob_ledger": secret_scan.op6_blob_ledger,
     "op7_minhash_near_dedup": near_duplicates.op7_minhash_near_dedup,
     "op9_zstd_token_files": token_files.op9_zstd_token_files,
+    "op10_suffix_tree_scores": suffix_lm.op10_suffix_tree_scores,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
 }
 
