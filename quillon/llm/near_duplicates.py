@@ -149,6 +149,8 @@ def _across(table: pa.Table) -> pa.Table:
     code = {x: i for i, x in enumerate(set(labels))}
     coded = np.array([code[x] for x in labels])
     signatures, bits, n = _matrix(table["signature"]), table["bits"].to_pylist(), table["n_shingles"].to_numpy()
+    # a pair that shares several lists is written in the first of them
+    token, tokens = table["token"][0].as_py(), [set(t) for t in table["tokens"].to_pylist()]
     found: set[tuple[bytes, bytes]] = set()
     if len(left) and len(right):
         near = np.zeros((len(left), len(right)), np.int16)
@@ -159,7 +161,8 @@ def _across(table: pa.Table) -> pa.Table:
             open_ &= _may_link([bits[i] for i in left], [bits[i] for i in right], n[left], n[right])
         for i, j in zip(*np.nonzero(open_), strict=True):
             a, b = nodes[left[i]], nodes[right[j]]
-            found.add((min(a, b), max(a, b)))
+            if min(tokens[left[i]] & tokens[right[j]]) == token:
+                found.add((min(a, b), max(a, b)))
     pairs = sorted(found)
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
@@ -254,8 +257,10 @@ def cross_pairs(classes: DataFrame, posted: DataFrame, labels: DataFrame) -> Dat
     ).select("token", "node", "label", "to.*", "rest", "k")
     # a block that meets itself stands on both sides
     sides = F.when(F.col("main"), F.array((~F.col("rest")).cast("int"))).when(F.col("i") == F.col("j"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("k") == F.col("j")).cast("int")))
-    placed = open_.withColumn("side", F.explode(sides)).join(classes.select("node", "n_shingles", "signature", "bits"), "node")
-    placed = placed.select("token", "i", "j", "main", "side", "node", "label", "n_shingles", "signature", "bits")
+    of_node = lists.groupBy("node").agg(F.collect_list("token").alias("tokens"))  # PREFIX at most
+    members = classes.select("node", "n_shingles", "signature", "bits").join(of_node, "node")
+    placed = open_.withColumn("side", F.explode(sides)).join(members, "node")
+    placed = placed.select("token", "i", "j", "main", "side", "node", "label", "tokens", "n_shingles", "signature", "bits")
     return placed.groupBy("token", "i", "j", "main").applyInArrow(_across, "a binary, b binary").distinct()
 
 
