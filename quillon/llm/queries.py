@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, mixing, near_duplicates, quality_rules, secret_scan, sharding, suffix_lm, token_files, toxicity
+from quillon.llm import decontamination, html_tree, mixing, near_duplicates, quality_rules, secret_scan, sharding, suffix_lm, token_files, toxicity
 
 QUERIES = {
+    "op1_dom_tree_extraction": html_tree.op1_dom_tree_extraction,
     "op2_kneser_ney_toxicity": toxicity.op2_kneser_ney_toxicity,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_decision_list": quality_rules.op4_decision_list,
