@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Ids that may be broadcast to pick texts (about 50 MB); beyond, Spark joins as it sees fit.
+MAX_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,3 +60,30 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
         F.translate(text, upper, upper.lower())
     )
+
+
+def text_key() -> Column:
+    """A 64-bit hash of ``text``; with the id, it tells rows apart that are not equal."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def picked(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as decided, with their texts.
+
+    ``decided``: doc_id, text_key, rows (how many rows of ``docs`` are equal in
+    both) and copies (how often they appear, all together).
+    """
+    columns = docs.columns
+    wanted = decided.filter("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("rows").alias("_rows"), F.col("copies").cast("int").alias("_copies")
+    )
+    wanted = materialise(wanted, "wanted")
+    few = wanted.count() <= MAX_IDS
+
+    def found(part: DataFrame) -> DataFrame:
+        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+        return docs.join(F.broadcast(part) if few else part, on)
+
+    repeated = found(wanted.filter("_rows > 1")).dropDuplicates(["_id", "_key"])
+    rows = found(wanted.filter("_rows = 1")).unionByName(repeated)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)

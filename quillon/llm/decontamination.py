@@ -76,8 +76,8 @@ def candidate_windows(length: int, anchors: list[int] | None) -> str:
     return f"transform({starts}, s -> named_struct('at', s, 'length', {length}, 'wtext', concat_ws(' ', slice(w, s + 1, {length}))))"
 
 
-def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(_row, doc_id, n_words, spans, items) for every row of (doc_id, text).
+def find_hits(docs: DataFrame, items: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(_row, *carry, n_words, spans, items) for every row of (*carry, text).
 
     spans: sorted array of (at, length) in words; items: sorted ids, as strings.
     """
@@ -90,17 +90,17 @@ def find_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             listed[n].append(a)
     if sum(counted.values()) * STRIDE <= MAX_BROADCAST:  # nine windows to an anchor at most, and few more at the ends
         windows = F.broadcast(windows)
-    cut = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", normal_words("text").alias("w"))
+    cut = docs.select(F.monotonically_increasing_id().alias("_row"), *carry, normal_words("text").alias("w"))
     found = [F.expr(candidate_windows(n, a)) for n, a in sorted(listed.items())]
     if not found:
         none = F.array().cast("array<struct<at:int,length:int>>")
-        return cut.select("_row", "doc_id", F.size("w").cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
-    rows = cut.select("_row", "doc_id", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("_c"))
-    rows = rows.withColumn("_c", F.explode_outer("_c")).select("_row", "doc_id", "n_words", "_c.*")
+        return cut.select("_row", *carry, F.size("w").cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"))
+    rows = cut.select("_row", *carry, F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("_c"))
+    rows = rows.withColumn("_c", F.explode_outer("_c")).select("_row", *carry, "n_words", "_c.*")
     # rows without candidates get texts of their own, which no window has
     rows = rows.withColumn("wtext", F.coalesce("wtext", F.concat(F.lit("\x01"), F.col("_row").cast("string"))))
     hits = rows.join(windows, ["wtext", "length"], "left")
-    return hits.groupBy("_row", "doc_id", "n_words").agg(
+    return hits.groupBy("_row", *carry, "n_words").agg(
         F.sort_array(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "length")))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, read_table
+from quillon.llm.common import MAX_IDS, materialise, read_table, text_key
 from quillon.llm.components import connected
 from quillon.llm.shingles import SIZE, shingle_sets, slices
 
@@ -45,13 +45,11 @@ PREFIX = K - T + 1
 SHORT, BLOCK = 8, 512
 #: Bits of a class's bitmap: a power of two of eight for each shingle, within these.
 LEAST_BITS, MOST_BITS = 256, 8192
-#: Ids that may be broadcast to pick texts (about 20 MB); beyond, Spark joins as it sees fit.
-MAX_IDS = 1_000_000
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(0, 1 << 31, K, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, K, dtype=np.uint32)
 
-SIGNED = "doc_id long, node binary, n_shingles long, signature binary, bits binary"
+SIGNED = "doc_id long, text_key long, node binary, n_shingles long, signature binary, bits binary"
 
 
 def digest_of(shingles: np.ndarray) -> bytes:
@@ -87,13 +85,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if some:
                 for i, s in zip(some, signature_rows([sets[i] for i in some]), strict=True):
                     nodes[i], signatures[i], bits[i] = digest_of(sets[i]), s, bitmap(sets[i])
-            columns = [ids.slice(first, last - first), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", "signature", "bits"])
+            columns = [ids.slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(nodes, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "node", "n_shingles", "signature", "bits"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_shingles, signature, bits) for every row of (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, SIGNED)
+    """(doc_id, text_key, node, n_shingles, signature, bits) for every row of (doc_id, text)."""
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key")).mapInArrow(_sign, SIGNED)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -265,7 +263,7 @@ def cross_pairs(classes: DataFrame, posted: DataFrame, labels: DataFrame) -> Dat
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text)."""
+    """(doc_id, text_key, n_shingles, component_id, kept) for every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialise(signed(docs), "signed")
     some = rows.filter("n_shingles > 0")
@@ -279,13 +277,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = classes.select("node", "doc_id").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     moved = labels.join(least, "label").select("node", "component_id")
     of_class = classes.select("node", F.col("doc_id").alias("least_id")).join(moved, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    grouped = some.select("doc_id", "node", "n_shingles").join(of_class, "node").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    grouped = some.select("doc_id", "text_key", "node", "n_shingles").join(of_class, "node").select("doc_id", "text_key", "n_shingles", "component_id")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 __all__ = ["SIZE", "near_duplicates", "op7_minhash_near_dedup", "signed"]
