@@ -1,4 +1,6 @@
 """All queries of the library, by name, with their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillon.plans import catalog, dense, fusion, fuzzy, graph, lexical, ingest, rules, scalars, search, stateful, telemetry, vectors  # noqa: F401
+from quillon.plans.register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
