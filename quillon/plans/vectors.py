@@ -1 +1,97 @@
-"""To be filled."""
+"""Queries of vector functions and of embedding compression."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.functions import vectors as V
+from quillon.operators import compression as cp
+from quillon.plans.dense import vectors
+from quillon.plans.register import query
+
+E_SQL = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+SUM = "list_sum(list_transform(v, lambda x: {0}))"
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT *, list_avg(v) AS mean, {SUM.format('abs(x)')} AS w FROM e)
+SELECT id, round(mean, 9) AS mean, round(list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) / len(v), 9) AS variance,
+  len(list_filter(v, lambda x: abs(x) < 0.01))::DOUBLE / len(v) AS sparsity,
+  round(list_sum(list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE -(abs(x) / w) * log2(abs(x) / w) END)) / log2(len(v)), 9) AS entropy FROM m""")
+def vector_profile(spark, sf_dir):
+    v = F.col("v")
+    return vectors(spark, sf_dir).select(
+        "id", F.round(V.mean(v), 9).alias("mean"), F.round(V.variance(v), 9).alias("variance"), V.sparsity(v).alias("sparsity"), F.round(V.entropy(v), 9).alias("entropy")
+    )
+
+
+@query(f"WITH {E_SQL} SELECT id, round(sqrt({SUM.format('x * x')}), 9) AS norm, round(list_sum(list_transform(v, lambda x: x / sqrt({SUM.format('x * x').replace('lambda x: x * x', 'lambda y: y * y')}))), 9) AS unit_sum FROM e")
+def vector_normalise(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.round(V.norm(F.col("v")), 9).alias("norm"), F.round(V.total(V.unit(F.col("v"))), 9).alias("unit_sum"))
+
+
+def quantise_sql(bits: int) -> str:
+    low, high = -(2 ** (bits - 1)), 2 ** (bits - 1) - 1
+    return f"""WITH {E_SQL}, s AS (SELECT *, (list_max(v) - list_min(v)) / {float(high - low)}::DOUBLE AS scale FROM e),
+z AS (SELECT *, floor({float(low)}::DOUBLE - list_min(v) / scale + 0.5) AS zero FROM s),
+c AS (SELECT *, list_transform(v, lambda x: greatest({low}, least({high}, floor(x / scale + zero + 0.5)))) AS codes FROM z)
+SELECT id, round(scale, 12) AS scale, zero::BIGINT AS zero, list_sum(codes)::BIGINT AS code_sum,
+  round(list_sum(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - (codes[i] - zero) * scale))) / len(v), 9) AS error FROM c"""
+
+
+def quantise(spark, sf_dir, bits):
+    q = vectors(spark, sf_dir).withColumn("q", V.quantised(F.col("v"), bits))
+    error = F.zip_with("v", V.restored(F.col("q")), lambda a, b: F.abs(a - b))
+    return q.select(
+        "id", F.round("q.scale", 12).alias("scale"), F.col("q.zero").alias("zero"),
+        F.aggregate("q.codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"), F.round(V.mean(error), 9).alias("error"),
+    )
+
+
+@query(quantise_sql(8))
+def quantize_int8_error(spark, sf_dir):
+    return quantise(spark, sf_dir, 8)
+
+
+@query(quantise_sql(4))
+def quantize_int4_error(spark, sf_dir):
+    return quantise(spark, sf_dir, 4)
+
+
+@query(quantise_sql(16))
+def quantize_int16_error(spark, sf_dir):
+    return quantise(spark, sf_dir, 16)
+
+
+@query(f"WITH {E_SQL} SELECT id, 60 AS dims, 60 / 64::DOUBLE AS explained, round(list_sum(v[1:60]), 9) AS kept_sum FROM e")
+def prefix_projection(spark, sf_dir):
+    return cp.prefix_projection(vectors(spark, sf_dir)).select("id", "dims", "explained", F.round(V.total(F.col("p")), 9).alias("kept_sum"))
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT *, list_avg(v) AS mean, {SUM.format('abs(x)')} AS w FROM e),
+p AS (SELECT id, v, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) / len(v) AS variance,
+  len(list_filter(v, lambda x: abs(x) < 0.01))::DOUBLE / len(v) AS sparsity,
+  list_sum(list_transform(v, lambda x: CASE WHEN x = 0 THEN 0 ELSE -(abs(x) / w) * log2(abs(x) / w) END)) / log2(len(v)) AS entropy FROM m)
+SELECT id, CASE WHEN len(v) <= 128 THEN 'quantize8' WHEN sparsity > 0.7 THEN 'product_quantization' WHEN entropy < 0.3 THEN 'pca' WHEN variance > 0.1 THEN 'distillation' ELSE 'adaptive' END AS technique FROM p""")
+def technique_selector(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", cp.technique(F.col("v")).alias("technique"))
+
+
+@query()
+def pca_projection(spark, sf_dir):
+    out = cp.pca(vectors(spark, sf_dir), 8)
+    return out.select("id", F.posexplode("p").alias("pos", "x"))
+
+
+@query()
+def pq_codes(spark, sf_dir):
+    return cp.product_quantised(vectors(spark, sf_dir), 8, 16).select("id", F.posexplode("codes").alias("sub", "code"))
+
+
+@query()
+def random_projection(spark, sf_dir):
+    return cp.random_projection(vectors(spark, sf_dir), 16, seed=11).select("id", F.posexplode("p").alias("pos", "x"))
+
+
+@query("SELECT 'quantize8' AS technique, 256 AS bytes_before, 72 AS bytes_after, round(256 / 72::DOUBLE, 9) AS ratio, round(sqrt(256 / 72::DOUBLE), 9) AS speedup, count(*)::BIGINT AS n, (count(*) * (256 - 72))::BIGINT AS saved FROM embeddings")
+def compression_savings(spark, sf_dir):
+    return cp.savings(vectors(spark, sf_dir), 64, 8)
