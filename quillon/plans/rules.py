@@ -1 +1,104 @@
-"""To be filled."""
+"""Queries of the rule engines: pages stand for code, groups of names for compositions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.operators import code_rules as cr
+from quillon.operators import composition as cm
+from quillon.plans.register import query, table
+
+
+def pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"))
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _pattern_sql() -> str:
+    parts = []
+    for name, (keywords, patterns) in cr.INDICATORS.items():
+        base = " + ".join(f"contains(lower(html), {_lit(k.lower())})::INT" for k in keywords)
+        seen = []
+        for step, p in enumerate(patterns, 1):
+            hit = f"regexp_matches(html, {_lit(p)}, 'i')"
+            seen.append(f"{hit}::INT")
+            parts.append(f"SELECT page_id AS id, {_lit(name)} AS pattern, {step} AS step, round(({base}) * 0.2::DOUBLE + ({' + '.join(seen)}) * 0.3::DOUBLE, 9) AS c FROM pages WHERE {hit}")
+    return f"SELECT id, pattern, step, least(c, 1)::DOUBLE AS confidence FROM ({' UNION ALL '.join(parts)}) WHERE c > 0.4"
+
+
+@query(_pattern_sql())
+def code_patterns(spark, sf_dir):
+    return cr.design_patterns(pages(spark, sf_dir))
+
+
+COUNT = "len(regexp_extract_all(html, {0}))"
+
+
+@query(f"""SELECT id, suggestion FROM (SELECT page_id AS id, unnest(list_filter([CASE WHEN regexp_matches(html, 'global|static|instance', 'i') THEN 'Singleton' END, CASE WHEN {COUNT.format(_lit(r'new\s+\w+\('))} > 3 THEN 'Factory Method' END,
+  CASE WHEN regexp_matches(html, 'event|listener|callback|subscribe', 'i') THEN 'Observer' END, CASE WHEN {COUNT.format(_lit(r'if\s*\('))} > 5 OR {COUNT.format(_lit(r'switch\s*\('))} > 0 THEN 'Strategy' END,
+  CASE WHEN regexp_matches(html, {_lit(r'constructor\s*\([^)]{50,}\)')}, 'i') THEN 'Builder' END], lambda x: x IS NOT NULL)) AS suggestion FROM pages)""")
+def code_suggestions(spark, sf_dir):
+    return cr.suggestions(pages(spark, sf_dir))
+
+
+@query(rf"""WITH l AS (SELECT page_id AS id, html, len(string_split(html, chr(10))) AS n, {COUNT.format(_lit(cr.METHODS))} AS m FROM pages)
+SELECT id, improvement FROM (SELECT id, unnest(list_filter([CASE WHEN NOT regexp_matches(html, 'try\s*\{{|catch\s*\(|\.catch\s*\(', 'i') THEN 'error handling' END,
+  CASE WHEN {COUNT.format(_lit(r'//|/\*|\*'))} < n * 0.1 THEN 'comments' END, CASE WHEN m > 0 AND n / m::DOUBLE > 50 THEN 'long methods' END,
+  CASE WHEN regexp_matches(html, '["'']\d+["'']|["'']\w+@\w+\.\w+["'']') THEN 'hardcoded values' END], lambda x: x IS NOT NULL)) AS improvement FROM l)""")
+def code_improvements(spark, sf_dir):
+    return cr.improvements(pages(spark, sf_dir))
+
+
+def conversation_code(spark, sf_dir):
+    """Turns of a conversation as lines of one text."""
+    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
+    return said
+
+
+@query("""WITH l AS (SELECT doc_id AS id, pos, trim(line) AS line FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) > 10),
+b AS (SELECT id, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS block FROM l WINDOW w AS (PARTITION BY id ORDER BY pos))
+SELECT id, md5(block) AS block, count(*)::BIGINT AS n FROM b WHERE block IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
+def dup_blocks(spark, sf_dir):
+    return cr.duplicate_blocks(conversation_code(spark, sf_dir)).withColumn("block", F.md5("block"))
+
+
+@query()
+def code_anti_patterns(spark, sf_dir):
+    return cr.anti_patterns(pages(spark, sf_dir))
+
+
+NAMES = ["Singleton", "Prototype", "Flyweight", "Factory Method", "Abstract Factory", "Observer", "Mediator", "Adapter", "Decorator", "Component", "Builder"]
+KINDS = ["creational", "creational", "structural", "creational", "creational", "behavioral", "behavioral", "structural", "structural", "structural", "creational"]
+SETS_SQL = f"""o AS (SELECT l_orderkey AS id, list((l_partkey % 11)::INTEGER ORDER BY l_linenumber, l_partkey) AS k FROM lineitem GROUP BY 1),
+s AS (SELECT id, list_transform(k, lambda i: ({NAMES!r})[i + 1]) AS names, list_transform(k, lambda i: ({KINDS!r})[i + 1]) AS categories FROM o)"""
+
+
+def sets(spark, sf_dir):
+    """Orders as lists of design patterns, by the remainder of their parts."""
+    pick = lambda values: F.transform("k", lambda i: F.get(F.array(*[F.lit(v) for v in values]), i))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    keyed = lines.select("id", F.transform("l", lambda x: (x["l_partkey"] % 11).cast("int")).alias("k"))
+    return keyed.select("id", pick(NAMES).alias("names"), pick(KINDS).alias("categories"))
+
+
+def _all(pair) -> str:
+    return "(" + " AND ".join(f"list_contains(names, '{n}')" for n in pair) + ")::INT"
+
+
+@query(f"""WITH {SETS_SQL}, m AS (SELECT *, list_max(list_transform(list_distinct(categories), lambda c: len(list_filter(categories, lambda x: x = c)))) / len(categories)::DOUBLE AS share,
+  {' + '.join(map(_all, cm.CONFLICTS))} AS violations, {' + '.join(map(_all, cm.SYNERGIES))} AS synergies, {' + '.join(map(_all, cm.CLASHES))} AS clashes FROM s)
+SELECT id, violations, synergies, clashes, violations = 0 AS valid, round(greatest(0, least(100, 100 - 20 * violations + synergies * 10 + (1 - share) * 10)), 9)::DOUBLE AS score,
+  array_to_string(list_filter([CASE WHEN len(names) > 5 THEN 'complexity' END, CASE WHEN share > 0.6 THEN 'balance' END], lambda x: x IS NOT NULL), ',') AS warnings FROM m""")
+def composition_analysis(spark, sf_dir):
+    out = cm.analysed(sets(spark, sf_dir))
+    return out.select("id", "violations", "synergies", "clashes", "valid", F.round("score", 9).alias("score"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(f"""WITH {SETS_SQL}, u AS (SELECT id, names, unnest(range(1, len(names) + 1)) AS pos, unnest(names) AS name FROM s),
+r AS (SELECT *, CASE name WHEN 'Abstract Factory' THEN 'Factory Method' WHEN 'Decorator' THEN 'Component' WHEN 'Composite' THEN 'Component' END AS missing FROM u)
+SELECT id, name, missing FROM r WHERE missing IS NOT NULL AND (coalesce(list_position(names, missing), 0) = 0 OR list_position(names, missing) >= pos)""")
+def sequence_faults(spark, sf_dir):
+    return cm.order_faults(sets(spark, sf_dir))

@@ -1 +1,51 @@
-"""To be filled."""
+"""Queries over event streams and state machines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.plans.register import query, table
+from quillon.streaming import events as ev
+from quillon.streaming import machines as mc
+
+
+def keyed(spark, sf_dir):
+    """(key, ts, event_id, event)."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("event"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def streamed_hourly(spark, sf_dir):
+    """Tumbling windows of an hour, by a stream run to its end."""
+    counted = ev.windowed(ev.event_stream(spark, sf_dir), "1 hour", ["event_type"])
+    rows = ev.run_once(counted, "complete")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    return mc.replay(keyed(spark, sf_dir), mc.TokenBucket(burst=5, per_minute=1))
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    return mc.replay(keyed(spark, sf_dir), mc.CircuitBreaker(failures=2, recovery=3_600_000))
+
+
+@query()
+def cache_replay(spark, sf_dir):
+    return mc.replay(keyed(spark, sf_dir), mc.Cache(size=3, ttl=86_400_000))
+
+
+@query()
+def cache_hit_rates(spark, sf_dir):
+    replayed = mc.replay(keyed(spark, sf_dir), mc.Cache(size=3, ttl=86_400_000))
+    return replayed.groupBy("key").agg(F.round(F.avg((F.col("verdict") == "hit").cast("int")), 9).alias("hit_rate"))
+
+
+@query()
+def streamed_breaker(spark, sf_dir):
+    """The breaker with its state kept by the stream."""
+    e = ev.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", "event_id", F.col("event_type").alias("event"))
+    return ev.run_once(mc.stream(e, mc.CircuitBreaker(failures=2, recovery=3_600_000)))
