@@ -162,7 +162,7 @@ def list_values(raw: Column, always: bool = False) -> Column:
     """
     as_list = F.from_json(raw, "array<string>")
     inner = F.when(raw.rlike(r'^\s*"'), F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), F.lit(0))).otherwise(raw)
-    cut = lambda by: F.filter(F.transform(F.split(inner, by, -1), F.trim), lambda s: F.length(s) > 0)
+    cut = lambda by: F.filter(F.transform(F.split(inner, by, -1), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
     by_comma = F.contains(inner, F.lit(",")) if always else F.contains(inner, F.lit(",")) & (F.length(inner) < 200)
     return (
         F.when(raw.isNull() | (F.trim(raw) == ""), strings([]))
