@@ -50,3 +50,42 @@ def order_faults(sequences: DataFrame) -> DataFrame:
     wanted = rows.withColumn("missing", F.explode(F.try_element_at(table, F.col("name"))))
     place = F.array_position("names", F.col("missing"))
     return wanted.filter((place == 0) | (place > F.col("at"))).select("id", "name", "missing")
+
+
+# What goes with a pattern, combinations for a problem or a context, and the order in which patterns are laid.
+COMPLEMENTS = {
+    "Factory Method": ["Abstract Factory", "Prototype"], "Observer": ["Mediator", "Command"], "Adapter": ["Decorator", "Facade"],
+    "Strategy": ["State", "Template Method"], "Builder": ["Prototype", "Flyweight"],
+}
+FOR_PROBLEM = {
+    "object creation": [(["Factory Method", "Abstract Factory"], 0.9), (["Builder", "Prototype"], 0.8)],
+    "structural organization": [(["Adapter", "Facade"], 0.85), (["Decorator", "Composite"], 0.8)],
+    "behavior coordination": [(["Observer", "Command"], 0.9), (["Strategy", "State"], 0.85)],
+}
+FOR_CONTEXT = {"performance": (["Flyweight", "Object Pool"], 0.8), "scalability": (["Proxy", "Observer"], 0.75)}
+ORDER = [
+    "Singleton", "Factory Method", "Abstract Factory", "Builder", "Prototype", "Adapter", "Bridge", "Composite", "Decorator", "Facade", "Flyweight", "Proxy",
+    "Chain of Responsibility", "Command", "Iterator", "Mediator", "Memento", "Observer", "State", "Strategy", "Template Method", "Visitor",
+]
+
+
+def ordered(names: Column) -> Column:
+    """Distinct names in the canonical order, the others behind as they came."""
+    canon = F.array(*[F.lit(n) for n in ORDER])
+    once = F.array_distinct(names)
+    return F.concat(F.filter(canon, lambda n: F.array_contains(once, n)), F.array_except(once, canon))
+
+
+def complementary(sets: DataFrame) -> DataFrame:
+    """(id, name, missing): what goes with a name and is not in the set."""
+    table = F.create_map(*[c for k, v in COMPLEMENTS.items() for c in (F.lit(k), F.array(*[F.lit(x) for x in v]))])
+    rows = sets.select("id", "names", F.explode(F.array_distinct("names")).alias("name"))
+    return rows.withColumn("missing", F.explode(F.try_element_at(table, F.col("name")))).filter(~F.array_contains("names", F.col("missing"))).select("id", "name", "missing")
+
+
+def combinations(asked: DataFrame) -> DataFrame:
+    """(problem, context, names, confidence): combinations that a problem's or context's words call for."""
+    says = lambda when, names, c: F.when(when, F.struct(F.lit(" + ".join(names)).alias("names"), F.lit(c).alias("confidence")))
+    parts = [says(F.contains(F.lower("problem"), F.lit(k)), n, c) for k, v in FOR_PROBLEM.items() for n, c in v]
+    parts += [says(F.contains(F.col("context"), F.lit(k)), n, c) for k, (n, c) in FOR_CONTEXT.items()]
+    return asked.select("problem", "context", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("problem", "context", "x.*")

@@ -108,3 +108,22 @@ def savings(df: DataFrame, dims: int, bits: int) -> DataFrame:
         F.lit(round(before / after, 9)).alias("ratio"), F.lit(round((before / after) ** 0.5, 9)).alias("speedup"), "n",
         (F.col("n") * (before - after)).alias("saved"),
     )
+
+
+def energy_projection(df: DataFrame, dims: int, least: float = 0.95) -> DataFrame:
+    """Adds p, explained and dims: the first places as far as they hold ``least`` of the energy, else the whole vector."""
+    part = F.slice("v", 1, dims)
+    share = F.coalesce(F.try_divide(V.dot(part, part), V.dot(F.col("v"), F.col("v"))), F.lit(0.0))
+    out = df.withColumn("_share", share)
+    enough = F.col("_share") >= least
+    return out.withColumns(
+        {"p": F.when(enough, part).otherwise(F.col("v")), "explained": F.when(enough, F.col("_share")).otherwise(1.0), "dims": F.when(enough, F.lit(dims)).otherwise(F.size("v"))}
+    ).drop("_share")
+
+
+def quality_controlled(df: DataFrame, most_error: float, bits: tuple[int, ...] = (4, 8, 16)) -> DataFrame:
+    """Adds ``bits`` and ``error``: the fewest bits whose mean error stays within bounds, else the most bits."""
+    tried = [F.struct(F.lit(b).alias("bits"), V.mean(F.zip_with("v", V.restored(V.quantised(F.col("v"), b)), lambda x, y: F.abs(x - y))).alias("error")) for b in bits]
+    out = df.withColumn("_t", F.array(*tried))
+    fit = F.get(F.filter("_t", lambda t: t["error"] <= most_error), F.lit(0))
+    return out.withColumn("_f", F.coalesce(fit, F.element_at("_t", -1))).withColumns({"bits": F.col("_f.bits"), "error": F.col("_f.error")}).drop("_t", "_f")

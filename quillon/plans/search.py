@@ -93,3 +93,11 @@ def legs_compared(spark, sf_dir):
     """How many of each query's first ten hits the two legs share."""
     d, s = dense_leg(spark, sf_dir).select("query_id", "id"), sparse_leg(spark, sf_dir).select("query_id", "id")
     return d.join(s, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("shared"))
+
+
+@query(f"{FLAGSHIP_SQL.replace('SELECT query_id, id, category, name, round(confidence, 9) AS confidence, rank FROM f WHERE rank <= 5', '')}, t AS (SELECT query_id, rank, rank || '. ' || name || ' (' || category || ')' AS line FROM f WHERE rank <= 5) SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS text FROM t GROUP BY query_id")
+def search_text(spark, sf_dir):
+    """Each query's results as numbered lines."""
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("name"), F.lit(" ("), F.col("category"), F.lit(")"))
+    lines = mediated(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return lines.select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))

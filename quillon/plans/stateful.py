@@ -49,3 +49,21 @@ def streamed_breaker(spark, sf_dir):
     """The breaker with its state kept by the stream."""
     e = ev.event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", "event_id", F.col("event_type").alias("event"))
     return ev.run_once(mc.stream(e, mc.CircuitBreaker(failures=2, recovery=3_600_000)))
+
+
+@query("""WITH w AS (SELECT *, unnest([0, 1]) AS k FROM events), x AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k AS start, value FROM w)
+SELECT start, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM x GROUP BY start""")
+def streamed_sliding(spark, sf_dir):
+    """Windows of an hour every 30 minutes."""
+    rows = ev.run_once(ev.windowed(ev.event_stream(spark, sf_dir), "1 hour", [], slide="30 minutes"), "complete")
+    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 6).alias("total"))
+
+
+@query()
+def cache_levels(spark, sf_dir):
+    """Hits by level of a small cache before a larger one, which is asked for what the first misses."""
+    first = mc.replay(keyed(spark, sf_dir), mc.Cache(size=2, ttl=86_400_000))
+    missed = keyed(spark, sf_dir).join(first.filter("verdict = 'miss'").select("event_id"), "event_id", "left_semi").select("key", "ts", "event_id", "event")
+    second = mc.replay(missed, mc.Cache(size=5, ttl=604_800_000))
+    share = lambda df, level: df.agg(F.lit(level).alias("level"), F.count("*").alias("asked"), F.count_if(F.col("verdict") == "hit").alias("hits"))
+    return share(first, 1).unionByName(share(second, 2))

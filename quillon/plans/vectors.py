@@ -95,3 +95,24 @@ def random_projection(spark, sf_dir):
 @query("SELECT 'quantize8' AS technique, 256 AS bytes_before, 72 AS bytes_after, round(256 / 72::DOUBLE, 9) AS ratio, round(sqrt(256 / 72::DOUBLE), 9) AS speedup, count(*)::BIGINT AS n, (count(*) * (256 - 72))::BIGINT AS saved FROM embeddings")
 def compression_savings(spark, sf_dir):
     return cp.savings(vectors(spark, sf_dir), 64, 8)
+
+
+@query(f"""WITH {E_SQL}, s AS (SELECT *, list_sum(list_transform(v[1:62], lambda x: x * x)) / list_sum(list_transform(v, lambda x: x * x)) AS e FROM e)
+SELECT id, CASE WHEN e >= 0.95 THEN 62 ELSE 64 END AS dims, round(CASE WHEN e >= 0.95 THEN e ELSE 1 END, 9)::DOUBLE AS explained FROM s""")
+def energy_projection(spark, sf_dir):
+    return cp.energy_projection(vectors(spark, sf_dir), 62).select("id", "dims", F.round("explained", 9).alias("explained"))
+
+
+@query()
+def quality_controlled(spark, sf_dir):
+    return cp.quality_controlled(vectors(spark, sf_dir), 0.01).select("id", "bits", F.round("error", 9).alias("error"))
+
+
+@query(f"""WITH {E_SQL}, s AS (SELECT *, (list_max(v) - list_min(v)) / 255.0::DOUBLE AS scale FROM e), z AS (SELECT *, floor(-128.0::DOUBLE - list_min(v) / scale + 0.5) AS zero FROM s),
+d AS (SELECT id, v, list_transform(v, lambda x: (greatest(-128, least(127, floor(x / scale + zero + 0.5))) - zero) * scale) AS r FROM z)
+SELECT id, round(list_sum(list_transform(range(1, 65), lambda i: (v[i] - r[i]) * (v[i] - r[i]))) / 64, 12) AS loss, list_sum(list_transform(range(1, 65), lambda i: (abs(v[i] - r[i]) <= 0.002)::INT)) = 64 AS same FROM d""")
+def distillation_loss(spark, sf_dir):
+    """Mean squared error of vectors restored from 8 bits, and whether every place is nearly the same."""
+    r = vectors(spark, sf_dir).withColumn("r", V.restored(V.quantised(F.col("v"), 8)))
+    loss = V.mean(F.zip_with("v", "r", lambda a, b: (a - b) * (a - b)))
+    return r.select("id", F.round(loss, 12).alias("loss"), V.nearly_equal(F.col("v"), F.col("r"), 0.002).alias("same"))
