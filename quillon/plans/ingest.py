@@ -35,7 +35,9 @@ def required_fields(spark, sf_dir):
     return good.groupBy(F.lit(True).alias("sound")).agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.lit(False).alias("sound")).agg(F.count("*").alias("n")))
 
 
-@query()
+@query(f"""WITH {ENTRY_SQL}, f AS (SELECT *, list_filter([CASE WHEN name IS NULL OR trim(name) = '' THEN '- name is required' END, CASE WHEN trim(description) = '' THEN '- description is required' END,
+  CASE WHEN NOT regexp_full_match(id, '[a-z][a-z0-9-]*') THEN '- id must be lower-case letters, digits and hyphens' END, CASE WHEN complexity = 'Odd' THEN '- complexity is not a known level' END], lambda x: x IS NOT NULL) AS l FROM e)
+SELECT id, len(l) = 0 AS valid, CASE WHEN len(l) = 0 THEN 'valid' ELSE array_to_string(l, chr(10)) END AS text FROM f""")
 def validation_report(spark, sf_dir):
     return cj.report(entries(spark, sf_dir))
 

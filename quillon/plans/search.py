@@ -9,7 +9,7 @@ from quillon.operators import fusion as fu
 from quillon.operators import fuzzy as fz
 from quillon.plans import common_sql as sql
 from quillon.plans.dense import vectors
-from quillon.plans.fusion import BLEND_SQL, RRF_SQL, blended, dense_leg, fused, sparse_leg
+from quillon.plans.fusion import BLEND_SQL, DENSE_SQL, RRF_SQL, SPARSE_SQL, blended, dense_leg, fused, sparse_leg
 from quillon.plans.register import query, table
 
 FLAGSHIP_SQL = f"""{BLEND_SQL},
@@ -88,7 +88,7 @@ def search_facets(spark, sf_dir):
     return scores.join(lang, "id").groupBy("query_id", "lang").agg(F.count("*").alias("hits"), F.max("norm").alias("best"))
 
 
-@query()
+@query(f"WITH {sql.BM25}, {DENSE_SQL}, {SPARSE_SQL} SELECT query_id, count(*)::BIGINT AS shared FROM dense JOIN sparse USING (query_id, id) GROUP BY query_id")
 def legs_compared(spark, sf_dir):
     """How many of each query's first ten hits the two legs share."""
     d, s = dense_leg(spark, sf_dir).select("query_id", "id"), sparse_leg(spark, sf_dir).select("query_id", "id")

@@ -103,7 +103,15 @@ def energy_projection(spark, sf_dir):
     return cp.energy_projection(vectors(spark, sf_dir), 62).select("id", "dims", F.round("explained", 9).alias("explained"))
 
 
-@query()
+def _error(bits: int) -> str:
+    low, high = -(2 ** (bits - 1)), 2 ** (bits - 1) - 1
+    scale = f"((hi - lo) / {float(high - low)}::DOUBLE)"
+    zero = f"floor({float(low)}::DOUBLE - lo / {scale} + 0.5)"
+    return f"list_sum(list_transform(v, lambda x: abs(x - (greatest({low}, least({high}, floor(x / {scale} + {zero} + 0.5))) - {zero}) * {scale}))) / len(v)"
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT *, list_min(v) AS lo, list_max(v) AS hi FROM e), t AS (SELECT id, {_error(4)} AS e4, {_error(8)} AS e8, {_error(16)} AS e16 FROM m)
+SELECT id, CASE WHEN e4 <= 0.01 THEN 4 WHEN e8 <= 0.01 THEN 8 ELSE 16 END AS bits, round(CASE WHEN e4 <= 0.01 THEN e4 WHEN e8 <= 0.01 THEN e8 ELSE e16 END, 9) AS error FROM t""")
 def quality_controlled(spark, sf_dir):
     return cp.quality_controlled(vectors(spark, sf_dir), 0.01).select("id", "bits", F.round("error", 9).alias("error"))
 
