@@ -49,12 +49,19 @@ MAGIC = b"QTOK0001"
 SEGMENT = 2 << 20
 #: Documents and ids of each that the dictionary is trained on; its size; the compression level.
 SAMPLE, SAMPLE_IDS, DICTIONARY, LEVEL = 1000, 2048, 1 << 16, 3
-#: Pieces that a worker caches.
-CACHE = 400_000
+#: Pieces that a worker caches (about 200 bytes each).
+CACHE = 800_000
+#: Below, lower-casing a letter depends on nothing else, and no letter has a second form in NFC.
+LATIN = "\u0130"
 ENTRY = struct.Struct("<qBIQ")
 SEGMENT_KIND = "part int, seq int, first_id long, last_id long, n_docs long, n_tokens long, segment binary"
 
 
+def _plain(text: str) -> str:
+    """ASCII texts in lower case, which the tokenizer gives them anyway; not where a special token may stand, as those are told by case."""
+    return text.lower() if text.isascii() and "<|" not in text else text
+
+
 class Encoder:
     """Encodes texts with a tokenizer file; caches pieces."""
 
@@ -75,10 +82,11 @@ class Encoder:
         split = {}
         for p in pieces:
             # letters, then at most one sign: the tokenizer cuts between them, and lowers letters
-            if p.isascii() and len(p) > 1 and p[-1] in ".,;:!?" and p[:-1].isalpha():
-                split[p] = (p[:-1].lower(), p[-1])
-            elif p.isascii() and p.isalpha():
-                split[p] = (p.lower(),)
+            if max(p) < LATIN:
+                if p.isalpha():
+                    split[p] = (p.lower(),)
+                elif p[-1] in ".,;:!?" and p[:-1].isalpha():
+                    split[p] = (p[:-1].lower(), p[-1])
         new = list(dict.fromkeys(w for parts in split.values() for w in parts if w not in self.cache))
         plain = [w for w in new if w.isalpha()]
         if plain:
@@ -98,10 +106,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None], end: int = END) -> list[bytes]:
         """Each text's ids and the end id, as bytes."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        cut = [_plain(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) > CACHE:
             self.cache = {"": b""}
-        new = set().union(*cut) - self.cache.keys() if cut else set()
+        cache = self.cache
+        new = {p for p in set().union(*cut) if p not in cache}
         if new:
             self._learn(new)
         last = np.uint32(end).astype("<u4").tobytes()
