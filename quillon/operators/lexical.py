@@ -27,7 +27,8 @@ def query_terms(queries: DataFrame, tokens=bm25_tokens) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, tokens=bm25_tokens) -> DataFrame:
     """(id, len, term, tf); only of ``terms`` (term), if given."""
-    words = docs.select("id", tokens(F.col("text")).alias("_t")).select("id", F.size("_t").alias("len"), F.explode("_t").alias("term"))
+    # an outer explode, as for an inner one the optimizer makes the tokens twice to skip empty texts
+    words = docs.select("id", tokens(F.col("text")).alias("_t")).select("id", F.size("_t").alias("len"), F.explode_outer("_t").alias("term")).filter("term is not null")
     if terms is not None:
         words = words.join(sized_broadcast(terms.select("term").distinct()), "term", "left_semi")
     return words.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
@@ -42,7 +43,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     """(query_id, id, score) for every document with a term of the query."""
     terms = query_terms(queries)
     found = postings(docs, terms)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # a count that needs tf leaves the postings as they are, so that both uses share one shuffle
+    df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     stats = corpus_stats(docs)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = terms.join(df, "term").join(F.broadcast(stats)).withColumn("idf", idf)  # stats: one row
