@@ -190,9 +190,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def postings(classes: DataFrame) -> DataFrame:
     """(token, node, members): each class under the pairs of its prefix that another class has too."""
+    # outer, as for an inner explode the optimizer makes the array twice to skip empty ones
     little = "concat(substr(h, {0} + 7, 2), substr(h, {0} + 5, 2), substr(h, {0} + 3, 2), substr(h, {0} + 1, 2))"
     tokens = classes.select("node", F.hex("signature").alias("h")).select(
-        "node", F.posexplode(F.expr(f"transform(sequence(0, {K - 1}), i -> cast(conv({little.format('8 * i')}, 16, 10) as bigint))")).alias("i", "v")
+        "node", F.posexplode_outer(F.expr(f"transform(sequence(0, {K - 1}), i -> cast(conv({little.format('8 * i')}, 16, 10) as bigint))")).alias("i", "v")
     ).select("node", (F.col("i").cast("long") * (1 << 32) + F.col("v")).alias("token"))
     shared = tokens.groupBy("token").count().filter("count > 1")
     ranked = tokens.join(shared, "token").withColumns(
