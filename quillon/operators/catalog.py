@@ -33,7 +33,7 @@ def first_children(parents: DataFrame, children: DataFrame, on: str, order: list
     """Adds ``children``: each parent's first k as an array of structs; empty if it has none."""
     ranked = children.withColumn("_n", F.row_number().over(Window.partitionBy(on).orderBy(*order))).filter(F.col("_n") <= k)
     lists = ranked.groupBy(on).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", *fields))), lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("children"))
-    return parents.join(lists, on, "left").withColumn("children", F.coalesce("children", F.expr("filter(children, x -> false)"), F.array()))
+    return parents.join(lists, on, "left").withColumn("children", F.coalesce("children", F.array()))
 
 
 def broken_edges(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", key: str = "id") -> DataFrame:

@@ -87,11 +87,6 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def similarity_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Adds ``score``, the cosine of v and w, to joined rows; for joins on a key, where both vectors are at hand."""
-    return left.join(right).withColumn("score", V.cosine(F.col("v"), F.col("w")))
-
-
 def vector_mean(df: DataFrame, by: list[str]) -> DataFrame:
     """(*by, mean): the element-wise mean of v; partial sums are formed before the shuffle."""
     cells = df.select(*by, F.posexplode(V.doubles(F.col("v"))).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"))

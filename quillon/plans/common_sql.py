@@ -4,7 +4,6 @@ TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\w\s]
 SPARSE = r"list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'for', 'with', 'from'))"
 #: A batch of queries: the first words of the benchmark's items.
 QUERIES = r"SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:5], ' ') AS text FROM benchmark"
-DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
 
 
 def tokens(column: str) -> str:

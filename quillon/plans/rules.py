@@ -52,17 +52,15 @@ def code_improvements(spark, sf_dir):
     return cr.improvements(pages(spark, sf_dir))
 
 
-def conversation_code(spark, sf_dir):
-    """Turns of a conversation as lines of one text."""
-    said = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
-    return said
+def document_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"))
 
 
 @query("""WITH l AS (SELECT doc_id AS id, pos, trim(line) AS line FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(trim(line)) > 10),
 b AS (SELECT id, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS block FROM l WINDOW w AS (PARTITION BY id ORDER BY pos))
 SELECT id, md5(block) AS block, count(*)::BIGINT AS n FROM b WHERE block IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
 def dup_blocks(spark, sf_dir):
-    return cr.duplicate_blocks(conversation_code(spark, sf_dir)).withColumn("block", F.md5("block"))
+    return cr.duplicate_blocks(document_lines(spark, sf_dir)).withColumn("block", F.md5("block"))
 
 
 @query()
