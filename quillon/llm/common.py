@@ -87,3 +87,16 @@ def picked(docs: DataFrame, decided: DataFrame) -> DataFrame:
     repeated = found(wanted.filter("_rows > 1")).dropDuplicates(["_id", "_key"])
     rows = found(wanted.filter("_rows = 1")).unionByName(repeated)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+
+
+def least_hashed(df: DataFrame, n: int, key: Column) -> DataFrame:
+    """The n rows with the least md5 of a key, for bounded samples.
+
+    Rows that cannot be among them are left out before the sort (four times as
+    many pass as are wanted), so that a task sends a few rows and not n.
+    """
+    total = df.count()
+    order = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+    if total > 4 * n:
+        df = df.filter(F.substring(order, 1, 8) < f"{int(4 * n / total * 2**32):08x}")
+    return df.orderBy(order).limit(n)

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import read_table, shared_dir
+from quillon.llm.common import least_hashed, read_table, shared_dir
 
 END = 2
 MAGIC = b"QTOK0001"
@@ -191,7 +191,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -
     """Write (doc_id, text) to ``folder``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    first = docs.orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).select("text").limit(SAMPLE)
+    first = least_hashed(docs, SAMPLE, F.col("doc_id")).select("text")
 
     def sampled(batches):
         for batch in batches:
