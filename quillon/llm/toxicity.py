@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, read_table
+from quillon.llm.common import least_hashed, materialise, read_table
 
 #: Labelled rows that are learned from, at most.
 MAX_LABELLED = 20_000
@@ -197,8 +197,9 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     spark = docs.sparkSession
     chosen = (
         labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id"), 5) != 0)
-        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_labelled)
-    )  # at most max_labelled pairs of numbers
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    )
+    chosen = least_hashed(chosen, max_labelled, F.col("doc_id"))  # at most max_labelled pairs of numbers
     sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
     apart = F.md5(F.concat(F.lit("part"), F.col("doc_id").cast("string"))) < "4"
     counts = sample.filter(~apart).select("text", "toxic").mapInArrow(_counts, "kind string, key string, toxic long, ordinary long")
