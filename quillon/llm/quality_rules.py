@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, read_table, word_list
+from quillon.llm.common import WORD, least_hashed, read_table, word_list
 
 #: Labelled rows that the list is learned from, at most.
 MAX_LABELLED = 20_000
@@ -133,10 +133,8 @@ def list_expression(rules: list[list[tuple[int, str, float]]]) -> Column:
 
 def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[list[tuple[int, str, float]]]:
     """The list for (doc_id, text) and (doc_id, quality)."""
-    chosen = (
-        labels.filter("doc_id is not null and quality is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-        .orderBy(F.md5(F.col("doc_id").cast("string"))).limit(max_labelled)
-    )  # at most max_labelled pairs of numbers are broadcast
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    chosen = least_hashed(known, max_labelled, F.col("doc_id"))  # at most max_labelled pairs of numbers are broadcast
     stats = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
     found = stats.select("doc_id", "quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).collect()
     found = sorted(found, key=lambda r: (r[0] * 2654435761 % 4294967296, tuple(r)))
