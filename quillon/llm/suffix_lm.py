@@ -3,27 +3,22 @@
 Training texts are those whose crc32(id as text) modulo 10 is not 0; each
 counts with all its words and one end.
 
-1. Words are counted (partial counts in workers, then one sum by word) and the
-   table is written out. It has a row for every distinct word and grows with
-   the corpus; it is never collected.
-2. Words that make up ``HEAD`` of all tokens or more each are the head; there can be
-   1 / HEAD of them at most, whatever the corpus. The more frequent of them
-   (``SYMBOL``) are the tree's symbols, and all other words are one symbol, rare.
-3. Contexts of one and two words whose words have the shares ``FIRST`` and ``SECOND``
-   are counted with their next symbols over the whole training text. A context
-   is kept as a state if its next-symbol distribution diverges (Kullback and
-   Leibler, in nats) from that of its suffix by ``DIVERGENCE`` or more; next
-   symbols are kept from a share ``ENTRY`` of all tokens on. The shares bound the
-   states, so that they can be broadcast.
-4. A token is scored in the longest kept state that the words before it end
-   with: its count there, discounted to the suffix's distribution with a weight
-   of ``PRIOR`` counts, down to the distribution of all symbols. A rare word gets
-   the probability of rare, times its own smoothed share of the rare tokens.
-
-Rare words outside the head are written out by document and joined with the
-table of counts, as is every such word's part of the base score; head words are
-scored where they stand. A document's parts meet again by an id given in scan
-order, so ``docs`` should be read from files or a written stage.
+1. Every word is a symbol, known by 64 bits of its hash. Workers count each word with
+   the ``DEPTH`` words before it, over all texts; a gram has the times that it occurs in
+   training texts, which is 0 where only held-out texts have it. Grams of fewer words
+   are sums of these. All are tables that grow with the corpus; none is collected.
+2. The root is the distribution of the base score. A context of one word, then of
+   two, is a state if its next-symbol distribution diverges (Kullback and Leibler,
+   in nats) from that of its suffix by ``DIVERGENCE`` or more; nothing else prunes.
+   Next symbols seen ``LEAST`` times or more have a share of their own, and what is
+   left goes to the suffix's distribution, with a weight of ``PRIOR`` counts more.
+3. A token has the probability of the longest state that the words before it end
+   with. It is computed once for each gram, and texts' tokens are joined with it.
+
+The next symbols of a context meet in one task; there are no more of them than
+distinct words. Texts' tokens are sent by the hash of their gram. Hashes of 64 bits
+are taken for equal words and grams. A document's tokens meet again by an id given
+in scan order.
 
 Defined cases: null texts are empty and have the end alone; null ids are hashed
 as the empty text and have fold 0; repeated rows are scored each; without
@@ -32,28 +27,32 @@ training texts all counts are 0; empty tables give no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, read_table
 from quillon.llm.toxicity import fold
 
-#: Least shares of all tokens: of head words, of symbols, of words in contexts of one and of two, of a context's next symbol.
-HEAD, SYMBOL, FIRST, SECOND, ENTRY = 1e-6, 1e-5, 1e-4, 1e-3, 5e-7
+#: Words of a context at most, and times that a next symbol is seen before it has a share.
+DEPTH, LEAST = 2, 2
+#: Of ``Head`` and ``Tree`` alone: least shares of head words, of symbols, of words in contexts of one and of two.
+HEAD, SYMBOL, FIRST, SECOND = 1e-6, 1e-5, 1e-4, 1e-3
 #: Divergence that keeps a state, and counts that its suffix stands for.
 DIVERGENCE, PRIOR = 0.01, 5.0
-#: The end, which no word equals; it is also the context of a text's first word.
-END = b"\n"
-#: Entries of a worker's tables before they are written out, and texts' bytes in a slice.
+#: The end, which no word equals; it is also the context of a text's first word. What is before it.
+END, NONE = b"\n", 0
+#: Entries of a worker's memory of hashes, and texts' bytes in a slice.
 FLUSH, SLICE = 500_000, 4 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: The words before a token, nearest first.
+BEFORE = [f"before{d}" for d in range(1, DEPTH + 1)]
 
 
 def words_of(raw: bytes | None) -> list[bytes]:
@@ -61,59 +60,32 @@ def words_of(raw: bytes | None) -> list[bytes]:
     return (raw or b"").translate(_LOWER).split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter: Counter = Counter()
-    for batch in batches:
-        for raw in batch["text"].cast(pa.binary()).to_pylist():
-            counter.update(words_of(raw))
-            counter[END] += 1
-            if len(counter) > FLUSH:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], names=["word", "n"])
-                counter.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], names=["word", "n"])
-
-
-class Head:
-    """Ids of the head words by falling count, and how many of them serve as symbols and in contexts."""
+class _Hashes(dict):
+    """64 bits of each word's hash, never ``NONE``."""
 
-    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.ids = {w: i for i, (w, _) in enumerate(rows)}
-        self.counts = np.array([n for _, n in rows], np.int64)
-        self.total, self.distinct = total, distinct
-        upto = lambda share: int((self.counts >= share * total).sum())
-        self.symbols, self.first, self.second = upto(SYMBOL), upto(FIRST), upto(SECOND)
-        self.end = self.ids.get(END, -1)
-        symbol_tokens = int(self.counts[: self.symbols].sum())
-        self.rare_tokens, self.rare_words = total - symbol_tokens, distinct - self.symbols
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        found = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True) or 1
+        return found
 
 
-def _encoded(texts: list[bytes | None], head: Head) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """(head ids of all tokens, -1 outside the head; first token of each text; words)."""
-    words = [words_of(t) for t in texts]
-    lengths = np.array([len(w) + 1 for w in words])
-    starts = np.cumsum(lengths) - lengths
-    get, end = head.ids.get, [END]
-    ids = np.fromiter((get(w, -1) for w in chain.from_iterable(chain(w, end) for w in words)), np.int64, int(lengths.sum()))
-    return ids, starts, words
-
-
-def _contexts(ids: np.ndarray, starts: np.ndarray, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: its symbol, and the one or two ids before it where they may be contexts, else -1."""
-    rare = head.symbols
-    symbol = np.where((ids < 0) | (ids >= rare), rare, ids)
-    one = np.empty_like(ids)
-    one[1:] = ids[:-1]
-    one[starts] = head.end
-    two = np.full_like(ids, -1)
-    two[2:] = ids[:-2]
-    two[starts] = -1
-    inner = starts + 1
-    two[inner[inner < len(ids)]] = head.end
-    two[starts] = -1
-    two = np.where((one >= 0) & (one < head.second) & (two >= 0) & (two < head.second), two, -1)
-    one = np.where((one >= 0) & (one < head.first), one, -1)
-    return symbol, one, two
+def _grams(texts: list[bytes | None], hashes: _Hashes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """For all tokens: word, the words before it, the gram's hash; and the texts' lengths."""
+    words, end = [words_of(t) for t in texts], [END]
+    lengths = np.array([len(w) + 1 for w in words], np.int64)
+    own = np.fromiter(map(hashes.__getitem__, chain.from_iterable(chain(w, end) for w in words)), np.int64, int(lengths.sum()))
+    place = np.arange(len(own)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    before, key = [], own.astype(np.uint64)
+    for d in range(1, DEPTH + 1):
+        shifted = np.concatenate((np.zeros(min(d, len(own)), np.int64), own[:-d]))
+        shifted[place < d] = NONE
+        shifted[place == d - 1] = hashes[END]
+        before.append(shifted)
+        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ shifted.astype(np.uint64)
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+    return own, before, key.astype(np.int64), lengths
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,41 +99,85 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = last
 
 
-def _count_contexts(head_of):
-    """Partial counts (two, one, symbol, n); two is -1 for contexts of one word, both for none."""
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts (gram, word, before, n) of all texts; n counts training texts alone."""
+    hashes = _Hashes()
+    for batch in chain.from_iterable(_slices([b]) for b in batches):
+        own, before, key, lengths = _grams(batch["text"].cast(pa.binary()).to_pylist(), hashes)
+        gram, first, at = np.unique(key, return_index=True, return_inverse=True)
+        n = np.bincount(at, np.repeat(batch["training"].to_numpy(zero_copy_only=False), lengths)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, own[first], *(b[first] for b in before), n)], names=["gram", "word", *BEFORE, "n"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, doc_id, gram) of all tokens; a text's first token has its doc_id."""
+    hashes = _Hashes()
+    for batch in chain.from_iterable(_slices([b]) for b in batches):
+        _, _, key, lengths = _grams(batch["text"].cast(pa.binary()).to_pylist(), hashes)
+        at = np.full(len(key), -1)
+        at[np.cumsum(lengths) - lengths] = np.arange(len(lengths))
+        ids = batch["doc_id"].take(pa.array(at, pa.int64(), mask=at < 0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["row"].to_numpy(), lengths)), ids, pa.array(key)], names=["row", "doc_id", "gram"])
+
+
+def _in_states(grams: DataFrame, context: list[str]) -> DataFrame:
+    """Replaces ``lower``, the probability after the context's suffix, by that after the context where it is a state."""
+    of = Window.partitionBy(*context)
+    listed = F.when(F.col("n") >= LEAST, F.col("n")).otherwise(0)
+    rows = grams.withColumn("of", F.sum("n").over(of) + F.lit(PRIOR)).withColumn("left", 1 - F.sum(listed).over(of) / F.col("of"))
+    rows = rows.withColumn("p", listed / F.col("of") + F.col("left") * F.col("lower"))
+    own = F.sum(F.when(F.col("n") >= LEAST, F.col("p") * F.log(F.col("p") / F.col("lower"))).otherwise(0.0)).over(of)
+    unlisted = F.greatest(1 - F.sum(F.when(F.col("n") >= LEAST, F.col("lower")).otherwise(0.0)).over(of), F.lit(0.0))
+    divergence = own + F.col("left") * unlisted * F.log(F.greatest("left", F.lit(1e-12)))
+    state = (divergence >= DIVERGENCE) & (F.col(context[-1]) != NONE)
+    return rows.withColumn("lower", F.when(state, F.col("p")).otherwise(F.col("lower"))).drop("of", "left", "p")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = head_of.value
-        side, width = head.first + 1, head.symbols + 1
-        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def rows():
-            two, rest = np.divmod(codes, side * width)
-            one, symbol = np.divmod(rest, width)
-            return pa.RecordBatch.from_arrays([pa.array(two - 1), pa.array(one), pa.array(symbol), pa.array(counts)], names=["two", "one", "symbol", "n"])
+def lm_scores(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = docs.select("text", (fold(F.col("doc_id"), 10) != 0).cast("long").alias("training"))
+    columns = ["word", *BEFORE]
+    counted = marked.mapInArrow(_count_grams, ", ".join(f"{c} long" for c in ["gram", *columns, "n"]))
+    longest = materialise(counted.groupBy("gram", *columns).agg(F.sum("n").alias("n")), "grams")
+    by_depth = [longest]
+    for d in range(DEPTH - 1, -1, -1):
+        by_depth.insert(0, materialise(by_depth[0].groupBy("word", *BEFORE[:d]).agg(F.sum("n").alias("n")), "grams"))
+    total, distinct = by_depth[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    scored = by_depth[0].withColumn("base", (F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
+    scored = scored.select("word", F.col("base").alias("lower"), "base", (F.col("n") > 0).cast("long").alias("known"))
+    for d in range(1, DEPTH + 1):
+        joined = by_depth[d].join(scored, ["word", *BEFORE[: d - 1]])
+        scored = _in_states(joined, BEFORE[:d]).drop("n")
+        if d < DEPTH:
+            scored = materialise(scored, "states")
+    scored = scored.select("gram", "known", F.log10("base").alias("base"), F.log10("lower").alias("score"))
+    tokens = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_tokens, "row long, doc_id long, gram long")
+    summed = tokens.join(scored, "gram").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.count("*").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
+    )
+    return summed.select(
+        "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
 
-        for batch in _slices(batches):
-            ids, starts, _ = _encoded(batch["text"].cast(pa.binary()).to_pylist(), head)
-            symbol, one, two = _contexts(ids, starts, head)
-            in_one, in_two = one >= 0, two >= 0
-            code = np.concatenate((one[in_one] * width + symbol[in_one], ((two[in_two] + 1) * side + one[in_two]) * width + symbol[in_two]))
-            new, n = np.unique(code, return_counts=True)
-            both = np.concatenate((codes, new))
-            order = np.argsort(both, kind="stable")
-            both, weights = both[order], np.concatenate((counts, n))[order]
-            if len(both):
-                first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-                codes, counts = both[first], np.add.reduceat(weights, first)
-            if len(codes) > 4 * FLUSH:
-                yield rows()
-                codes, counts = codes[:0], counts[:0]
-        yield rows()
+class Head:
+    """Ids of the head words by falling count, and how many of them serve as symbols and in contexts of a ``Tree``."""
 
-    return run
+    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int):
+        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+        self.ids = {w: i for i, (w, _) in enumerate(rows)}
+        self.counts = np.array([n for _, n in rows], np.int64)
+        self.total, self.distinct = total, distinct
+        upto = lambda share: int((self.counts >= share * total).sum())
+        self.symbols, self.first, self.second = upto(SYMBOL), upto(FIRST), upto(SECOND)
+        self.end = self.ids.get(END, -1)
+        symbol_tokens = int(self.counts[: self.symbols].sum())
+        self.rare_tokens, self.rare_words = total - symbol_tokens, distinct - self.symbols
 
 
 class Tree:
-    """The states kept and their next symbols, as sorted arrays."""
+    """The same states in memory, as sorted arrays, over the head words of a small corpus; ``lm_scores`` does not use it."""
 
     def __init__(self, head: Head, rows: np.ndarray):
         """``rows``: two, one, symbol, n, and n of the context, for the kept next symbols of every context."""
@@ -221,83 +237,6 @@ class Tree:
         return out
 
 
-PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, times long"
-
-
-def _score(head_of, tree_of):
-    """A row for each document with what its head words give, and one for each of its other words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tree = head_of.value, tree_of.value
-        base_log = np.append(np.log10((head.counts + 0.1) / (head.total + 0.1 * (head.distinct + 1))), 0.0)
-        rare_log = np.append(np.log10((head.counts + 0.1) / (head.rare_tokens + 0.1 * (head.rare_words + 1))), 0.0)
-        rare_log[: head.symbols] = 0.0
-        for batch in _slices(batches):
-            ids, starts, words = _encoded(batch["text"].cast(pa.binary()).to_pylist(), head)
-            symbol, one, two = _contexts(ids, starts, head)
-            own = np.log10(tree.probabilities(symbol, one, two)) + rare_log[ids]
-            sums = lambda x: np.add.reduceat(x, starts) if len(starts) else x
-            rows = batch["row"].to_pylist()
-            lengths = np.diff(np.append(starts, len(ids)))
-            # a document's own row has a word that no word can be, and no two the same
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch["row"], batch["doc_id"], pa.array(lengths), pa.array(sums((ids >= 0).astype(np.int64))), pa.array(sums(base_log[ids]), pa.float64()), pa.array(sums(own), pa.float64()),
-                 pa.array([b" %d" % r for r in rows], pa.binary()), pa.array([0] * n, pa.int64())],
-                names=[c.split()[0] for c in PARTS.split(", ")],
-            )
-            outside, row, times = [], [], []
-            for r, first, w in zip(rows, starts.tolist(), words, strict=True):
-                missing = np.flatnonzero(ids[first : first + len(w)] < 0).tolist()
-                found = Counter(w[i] for i in missing)
-                outside += found
-                times += found.values()
-                row += [r] * len(found)
-            if END not in head.ids:
-                outside += [END] * n
-                row += rows
-                times += [1] * n
-            m = len(row)
-            none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), none, none, none, pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array(outside, pa.binary()), pa.array(times, pa.int64())],
-                names=[c.split()[0] for c in PARTS.split(", ")],
-            )
-
-    return run
-
-
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = docs.filter(fold(F.col("doc_id"), 10) != 0).select("text")
-    counts = materialise(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.filter(F.col("n") >= HEAD * total).toArrow()  # 1 / HEAD rows at most
-    head = Head(list(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True)), total, distinct)
-    head_of = spark.sparkContext.broadcast(head)
-    pairs = training.mapInArrow(_count_contexts(head_of), "two long, one long, symbol long, n long").groupBy("two", "one", "symbol").agg(F.sum("n").alias("n"))
-    pairs = materialise(pairs, "contexts")
-    sizes = pairs.groupBy("two", "one").agg(F.sum("n").alias("of"))
-    listed = pairs.filter(F.col("n") >= max(2.0, ENTRY * total)).join(sizes, ["two", "one"]).toArrow()  # 2 / ENTRY rows at most
-    table = np.column_stack([listed[c].to_numpy() for c in ("two", "one", "symbol", "n", "of")]).reshape(-1, 5)
-    tree_of = spark.sparkContext.broadcast(Tree(head, table))
-    parts = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(_score(head_of, tree_of), PARTS)
-    known = parts.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    times = F.col("times")
-    base = times * F.log10((F.col("n") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    rare = times * F.log10((F.col("n") + 0.1) / F.lit(head.rare_tokens + 0.1 * (head.rare_words + 1)))
-    summed = known.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
-        (F.sum(F.coalesce("n_known", F.lit(0))) + F.sum(F.when(F.col("n") > 0, times).otherwise(0))).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + base).alias("base_score"), F.sum(F.coalesce("score", F.lit(0.0)) + rare).alias("score"),
-    )
-    return summed.select(
-        "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
-
-
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -69,3 +69,49 @@ def test_every_state_is_a_distribution():
     for two, one in [(-1, -1), (-1, 1), (-1, 9), (1, 2), (2, 1), (1, 1)]:
         p = tree.probabilities(every, np.full(len(every), one), np.full(len(every), two))
         assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+
+
+def tree_scores(docs):
+    """Scores of the tree over all words, contexts of one and two, in plain Python."""
+    cut = {i: ["\n", *t.split(), "\n"] for i, t in docs}
+    counts = [Counter(), Counter(), Counter()]
+    for i, w in cut.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for j in range(1, len(w)):
+                for d in range(min(j, 2) + 1):
+                    counts[d][tuple(w[j - d : j + 1])] += 1
+    total, distinct = sum(counts[0].values()), len(counts[0])
+    after = {}
+    for d in (1, 2):
+        for gram, n in counts[d].items():
+            after.setdefault(gram[:-1], {})[gram[-1]] = n
+
+    def probability(context, x):
+        if not context:
+            return (counts[0][(x,)] + 0.1) / (total + 0.1 * (distinct + 1))
+        seen, lower = after.get(context, {}), lambda y: probability(context[1:], y)
+        of = sum(seen.values()) + 5
+        share = {y: n / of for y, n in seen.items() if n >= 2}
+        left = 1 - sum(share.values())
+        if context not in states:
+            own = [(share[y] + left * lower(y), lower(y)) for y in share]
+            states[context] = sum(p * math.log(p / q) for p, q in own) + left * max(1 - sum(q for _, q in own), 0) * math.log(left) >= 0.01
+        return share.get(x, 0) + left * lower(x) if states[context] else lower(x)
+
+    states = {}
+    scores = {i: sum(math.log10(probability(tuple(w[max(0, j - 2) : j]), w[j])) for j in range(1, len(w))) for i, w in cut.items()}
+    return scores, states
+
+
+def test_rare_contexts_have_states(spark):
+    """Words of a few occurrences among 60,000 are contexts, alone and in pairs, and symbols of their own."""
+    random.seed(5)
+    common = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(random.choices(common, k=150))) for i in range(400)]
+    docs += [(1000 + i, f"rarely {random.choice(common)} seen words meet again") for i in range(30)]
+    got = {r.doc_id: r for r in suffix_lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    want, states = tree_scores(docs)
+    assert all(abs(got[i].score - want[i]) < 1e-6 for i, _ in docs)
+    assert states[("words",)] and sum(len(c) == 2 and k for c, k in states.items()) > 0
+    held = [r for i, r in got.items() if i >= 1000 and r.held_out]
+    assert held and sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
