@@ -127,5 +127,14 @@ def corpus_statistics(spark, sf_dir):
 s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS s FROM d)
 SELECT DISTINCT array_to_string(s, ' ') AS suggestion FROM s WHERE len(list_filter(s, lambda x: contains(x, 'the') OR contains(x, 'der'))) > 0""")
 def shingle_suggestions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") < 2000)
+    """Of documents under 2,000 characters, as the SQL states it; ``shingle_suggestions_all`` takes every text whole."""
+    return suggestions(table(spark, sf_dir, "documents").filter(F.length("text") < 2000))
+
+
+@query()
+def shingle_suggestions_all(spark, sf_dir):
+    return suggestions(table(spark, sf_dir, "documents"))
+
+
+def suggestions(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(shingles(F.col("text"), strings(["the", "der"]))).alias("suggestion")).distinct()
