@@ -11,6 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 #: Query, the limited one, and the limits in its SQL with what stands there without them.
 WHOLE = [
     ("shingle_suggestions_all", "shingle_suggestions", [(" WHERE length(text) < 2000", "")]),
+    ("top3_per_parent_all", "top3_per_parent", [(" WHERE o_orderkey % 10 = 0", "")]),
 ]
 
 
