@@ -12,12 +12,20 @@ SMALL = "/root/testdata/sf0.001"
 WHOLE = [
     ("shingle_suggestions_all", "shingle_suggestions", [(" WHERE length(text) < 2000", "")]),
     ("top3_per_parent_all", "top3_per_parent", [(" WHERE o_orderkey % 10 = 0", "")]),
+    ("two_hop_neighbors_all", "two_hop_neighbors", [(" WHERE src < 10", "")]),
+    ("graph_walk_scores_all", "graph_walk_scores", [("x.src < 10 AND ", "")]),
+    ("graph_augmented_all", "graph_augmented", [(" WHERE src < 10", "")]),
+    ("graph_export_all", "graph_export", [("FROM knn WHERE src < 3 AND false", "FROM knn WHERE false"), (" WHERE src < 3", "")]),
+    ("knn_l2_score_all", "knn_l2_score", [("AND a.vec_id < 20", "")]),
+    ("vector_search_filtered_all", "vector_search_filtered", [("AND a.vec_id < 50", "")]),
 ]
 
 
 def rows_of(names, columns, rows):
-    plain = lambda v: "-" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)
-    return sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in rows)
+    """The rows' values in order: those that are no fractions first, which are compared exactly."""
+    plain = lambda v: ("-" if v is None else str(v), 0.0) if not isinstance(v, float) else ("", v)
+    rows = [[plain(r[names.index(c)]) for c in columns] for r in rows]
+    return sorted(([t for t, _ in r], [x for _, x in r]) for r in rows)
 
 
 @pytest.mark.parametrize("name, limited, limits", WHOLE, ids=[w[0] for w in WHOLE])
@@ -35,4 +43,6 @@ def test_whole(spark, name, limited, limits):
     names, want = [d[0] for d in cursor.description], cursor.fetchall()
     columns = sorted(found.columns)
     assert sorted(names) == columns and len(want) > len(fewer)
-    assert rows_of(found.columns, columns, found.collect()) == rows_of(names, columns, want)
+    got, want = rows_of(found.columns, columns, found.collect()), rows_of(names, columns, want)
+    assert [t for t, _ in got] == [t for t, _ in want]
+    assert all(abs(x - y) < 1e-8 for (_, a), (_, b) in zip(got, want, strict=True) for x, y in zip(a, b, strict=True))
