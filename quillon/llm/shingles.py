@@ -21,6 +21,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS = np.cumprod(np.full(1 << 16, _BASE, dtype=U))
+#: The same for every 65,536th byte of longer words; an Arrow value has under 2 ** 31 bytes.
+_FAR_POWERS = np.cumprod(np.concatenate(([U(1)], np.full((1 << 15) - 1, _POWERS[-1], dtype=U))))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -32,8 +34,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, document) of all words of some texts, in order."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, document, start, end, buffer) of all words of some texts, in order; start and end are places in the buffer."""
     buf = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     inside = ~_SPACE[buf]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -41,14 +43,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.concatenate(([0], edge))
     start, end = edge[::2], edge[1::2]  # the buffer ends in white space
     if not len(start):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U), np.zeros(0, np.int64), start, end, buf
     lengths = end - start
     offsets = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
-    terms = (buf[inside].astype(U) + U(1)) * _POWERS[at & 0xFFFF]
+    terms = buf[inside].astype(U)
+    terms += U(1)
+    terms *= _POWERS[at & 0xFFFF]
+    if lengths.max() > len(_POWERS):
+        terms *= _FAR_POWERS[at >> 16]
     hashes = mixed(np.add.reduceat(terms, offsets) + lengths.astype(U))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(ends, start, side="right")
+    return hashes, np.searchsorted(ends, start, side="right"), start, end, buf
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, document) of all words of some texts, in order."""
+    return word_spans(texts)[:2]
 
 
 def _chain(words: np.ndarray, size: int) -> np.ndarray:
@@ -58,12 +69,12 @@ def _chain(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that have about SLICE bytes together."""
+def slices(texts: list[bytes], size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have about ``size`` bytes together."""
     first, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
-        if held >= SLICE:
+        if held >= size:
             yield first, i + 1
             first, held = i + 1, 0
     if first < len(texts):

@@ -18,9 +18,9 @@ shuffle.
 The dictionary is trained on the first ``SAMPLE_IDS`` ids of ``SAMPLE`` documents
 (those with the least md5 of their id), whatever the table's size.
 
-Tokenizing caches pieces between blanks and line ends. Encoding is
-the same for a text as for its pieces in turn, as the tokenizer drops white
-space and joins nothing across it.
+Encoding is the same for a text as for its pieces between white space in turn where the
+tokenizer drops white space and joins nothing across it; ``cuts_at_space`` tells this from the
+tokenizer's file, and texts are encoded whole where it does not hold.
 
 Defined cases: null texts are empty and have the end id alone; ids may be null
 or repeated; an empty table gives an empty folder, and no rows.
@@ -29,9 +29,12 @@ or repeated; an empty table gives an empty folder, and no rows.
 from __future__ import annotations
 
 import hashlib
+import json
+import string
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import least_hashed, read_table, shared_dir
+from quillon.llm.shingles import slices, word_spans
 
 END = 2
 MAGIC = b"QTOK0001"
@@ -49,72 +53,122 @@ MAGIC = b"QTOK0001"
 SEGMENT = 2 << 20
 #: Documents and ids of each that the dictionary is trained on; its size; the compression level.
 SAMPLE, SAMPLE_IDS, DICTIONARY, LEVEL = 1000, 2048, 1 << 16, 3
-#: Pieces that a worker caches (about 200 bytes each).
-CACHE = 800_000
+#: Pieces that a worker remembers twice over: as many found of late, and as many before these.
+CACHE = 400_000
 #: Below, lower-casing a letter depends on nothing else, and no letter has a second form in NFC.
 LATIN = "\u0130"
+#: Signs that the tokenizer keeps together after a word (an apostrophe may begin a suffix).
+SIGNS = string.punctuation.replace("'", "")
+#: Bytes of texts that are encoded in one go.
+SLICE = 4 << 20
 ENTRY = struct.Struct("<qBIQ")
 SEGMENT_KIND = "part int, seq int, first_id long, last_id long, n_docs long, n_tokens long, segment binary"
 
 
-def _plain(text: str) -> str:
-    """ASCII texts in lower case, which the tokenizer gives them anyway; not where a special token may stand, as those are told by case."""
-    return text.lower() if text.isascii() and "<|" not in text else text
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: printable Latin-1 itself, the others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
+
+
+def cuts_at_space(description: dict) -> bool:
+    """Whether a tokenizer file drops white space, joins nothing across it, lowers letters and cuts words from signs.
+
+    Only then is a text encoded by its pieces; any other file encodes texts whole.
+    """
+    steps = (description.get("normalizer") or {}).get("normalizers", [])
+    cut = (description.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"}
+        and [c["type"] for c in cut] == ["Split", "ByteLevel"] and cut[0]["behavior"] == "Removed" and cut[0]["invert"]
+        and cut[0]["pattern"].get("Regex", "").endswith("[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"] and description["model"]["type"] == "BPE"
+        and all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in description["added_tokens"])
+    )
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file; caches pieces."""
+    """Encodes texts with a tokenizer file.
+
+    Texts are cut at ASCII white space. A slice's pieces are told apart by 64 bits of hash,
+    each different one is looked up or encoded once, and the ids are gathered by position.
+    Texts in which a special token may stand are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[ends] = True
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Caches new pieces; the plain words among them are encoded in one call and told apart by word ends."""
-        split = {}
-        for p in pieces:
-            # letters, then at most one sign: the tokenizer cuts between them, and lowers letters
-            if max(p) < LATIN:
-                if p.isalpha():
-                    split[p] = (p.lower(),)
-                elif p[-1] in ".,;:!?" and p[:-1].isalpha():
-                    split[p] = (p[:-1].lower(), p[-1])
-        new = list(dict.fromkeys(w for parts in split.values() for w in parts if w not in self.cache))
-        plain = [w for w in new if w.isalpha()]
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain) and cuts[-1] == len(ids):
-                first = 0
-                for w, last in zip(plain, cuts.tolist(), strict=True):
-                    self.cache[w] = ids[first:last].tobytes()
-                    first = last
-        for w in new:
-            if w not in self.cache:
-                self.cache[w] = self._one(w)
-        for p in pieces:
-            if p not in self.cache:
-                self.cache[p] = b"".join(self.cache[w] for w in split[p]) if p in split else self._one(p)
+        self.by_pieces = cuts_at_space(json.loads(self.tokenizer.to_str()))
+        self.letters = byte_letters()
+        self.late: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """One run of letters, or of signs, in lower case."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        written = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        found = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        return found
+
+    def _pieces(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of some pieces, A-Z in lower case."""
+        out, words = [], self.words
+        for piece in map(bytes.decode, raw):
+            plain = piece.isascii()
+            if plain or max(piece) < LATIN:
+                stem = piece.rstrip(SIGNS)
+                if stem.isalpha():
+                    signs = piece[len(stem) :]
+                    stem = stem if plain else stem.lower()
+                    ids = words.get(stem) or self._word(stem)
+                    out.append(ids + (words.get(signs) or self._word(signs)) if signs else ids)
+                    continue
+            out.append(self._whole(piece))
+        return out
+
+    def _slice(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Each text's ids."""
+        if len(self.late) > CACHE:
+            self.before, self.late = self.late, {}
+        hashes, owner, start, end, buf = word_spans(texts)
+        keys, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        late, listed = self.late, keys.tolist()
+        ids = list(map(late.get, listed))
+        if None in ids:
+            earlier, raw = self.before.get, buf.tobytes()
+            for i in [i for i, x in enumerate(ids) if x is None]:
+                ids[i] = earlier(listed[i])
+            new = [i for i, x in enumerate(ids) if x is None]
+            pieces = [raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            for i, x in zip(new, self._pieces(pieces), strict=True):
+                ids[i] = x
+            late.update(zip(listed, ids, strict=True))
+        held = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        store = np.frombuffer(b"".join(ids), "<u4")
+        offsets = (np.cumsum(held) - held)[at]
+        n = held[at]
+        done = np.cumsum(n)
+        gathered = store[np.arange(int(done[-1]) if len(done) else 0) + np.repeat(offsets - done + n, n)]
+        # ids before each text's end
+        upto = np.concatenate(([0], done))[np.searchsorted(owner, np.arange(len(texts) + 1))]
+        return [gathered[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[str | None], end: int = END) -> list[bytes]:
         """Each text's ids and the end id, as bytes."""
-        cut = [_plain(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
-        cache = self.cache
-        new = {p for p in set().union(*cut) if p not in cache}
-        if new:
-            self._learn(new)
         last = np.uint32(end).astype("<u4").tobytes()
-        return [b"".join(map(self.cache.__getitem__, pieces)) + last for pieces in cut]
+        whole = [not self.by_pieces or "<|" in (t or "") for t in texts]
+        raw = [b"" if w else (t or "").encode() for t, w in zip(texts, whole, strict=True)]
+        out = [ids.tobytes() + last for a, b in slices(raw, SLICE) for ids in self._slice(raw[a:b])]
+        for i, w in enumerate(whole):
+            if w:
+                out[i] = self._whole(texts[i] or "") + last
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -173,8 +227,8 @@ def _writer(tokenizer: str, dictionary: bytes, end: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in SEGMENT_KIND.split(", ")])
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, 2048):
+                some = batch.slice(first, 2048)
                 for i, raw in zip(some["doc_id"].to_pylist(), encoder(tokenizer).encode(some["text"].to_pylist(), end), strict=True):
                     entries.append((i, len(raw) // 4, compressor.compress(raw)))
                     held += len(entries[-1][2])

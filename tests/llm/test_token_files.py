@@ -1,5 +1,6 @@
 """Token files: ids against the tokenizer's own, places, and the reading of one document."""
 
+import random
 import uuid
 import zlib
 
@@ -31,6 +32,27 @@ def test_encoder_equals_the_tokenizer(spark):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokens(t) for t in texts]
 
 
+def test_encoder_on_random_texts_and_any_file():
+    rng = random.Random(5)
+    signs = "abzABZ'éÉßñ,.;!?*<>|0 19\t\n\r\x0b\x0c\x1c\x1f\x85\xa0 İıΣσςÅKﬁ中文🙂sS-_"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(20_000)]
+    texts += ["a" * 70_000 + " " + "a" * 69_999 + "b", "<|STARTOFTEXT|> <|startoftext|>", None]
+    encoder = token_files.Encoder(PATH)
+    assert encoder.by_pieces
+    assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)] == [tokens(t) for t in texts]
+    other = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))  # keeps white space and case
+    assert not other.by_pieces
+    assert np.frombuffer(other.encode(["A  b\n c"], 9)[0], "<u4").tolist() == [*other.tokenizer.encode("A  b\n c", add_special_tokens=False).ids, 9]
+
+
+def test_cache_generations(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 20)
+    encoder = token_files.Encoder(PATH)
+    texts = [f"word{i % 7}a x{'abc'[i % 3]} {chr(97 + i % 26) * 3} common" for i in range(300)]
+    for t in texts:
+        assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == tokens(t)
+
+
 @pytest.mark.parametrize("segment", [2 << 20, 2000])
 def test_round_trip(spark, tmp_path, monkeypatch, segment):
     monkeypatch.setattr(token_files, "SEGMENT", segment)
