@@ -3,6 +3,7 @@
 import html
 import itertools
 import re
+import time
 
 import pytest
 
@@ -58,19 +59,50 @@ def test_any_cut_is_survived(model):
         model.main_text(PAGE[:at])
 
 
+STORY = (
+    "<html><body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><article><h1>Title here</h1><p>First paragraph of the story, long enough to be read. It goes on.</p>"
+    "{}<p>Second paragraph, which says more. It ends here.</p></article><footer>&copy; 2020 Site. All rights reserved.</footer></body></html>"
+)
+COOKIES = "We use cookies to improve your visit. "
+
+
+@pytest.mark.parametrize(("inner", "kept"), [
+    ("<section><h2>Part</h2><p>Full sentences in a section. They are text.</p></section>", ["Part", "Full sentences in a section. They are text."]),
+    ("<section>Sentences directly in it. They are text.</section>", ["Sentences directly in it. They are text."]),
+    ("<div>Text standing directly in a div.</div>", ["Text standing directly in a div."]), ("<h4>Small heading</h4>", ["Small heading"]),
+    ("<ul><li>red</li><li>green</li><li>blue</li></ul>", ["red", "green", "blue"]), ("<pre>x = 1\ny = 2</pre>", ["x = 1 y = 2"]),
+    ("<table><tr><th>Name</th><th>Age</th></tr><tr><td>Ann</td><td>31</td></tr></table>", ["Name", "Age", "Ann", "31"]),
+    ("<figure><img src=a><figcaption>A photo</figcaption></figure>", ["A photo"]), ("<p title=it's>Odd attribute.</p><p>It's next.</p>", ["Odd attribute.", "It's next."]),
+    ("<p>She baked cookies for us all.</p>", ["She baked cookies for us all."]), ("<div class='ad'>Buy this now.</div>", []),
+    ("<div class=related><h3>Related</h3><ul><li><a href=/a>Other story</a></ul></div>", []), ("<section class=comments><h3>Comments</h3><p>I loved this. Thanks!</p></section>", []),
+    *((f"<div{name}>{COOKIES * n}</div>", []) for n in (5, 7, 8, 9, 20) for name in ("", " class='cookie-notice'")),
+])
+def test_blocks_of_an_article(model, inner, kept):
+    ends = ["Title here", "First paragraph of the story, long enough to be read. It goes on."], ["Second paragraph, which says more. It ends here."]
+    assert model.main_text(STORY.format(inner)) == "\n\n".join([*ends[0], *kept, *ends[1]])
+
+
+@pytest.mark.parametrize("parts", [("<i>x", "</u>y"), ("<i>", "<div>y</div>"), ("<div>", "<li>y</li>"), ("<p title='>", ""), ("<table>", "<tr>a"), ("<ul><li>", "</p>"), ("<a href=\"x", "</a>")])
+def test_a_megabyte_of_hostile_markup(model, parts):
+    n = 1_000_000 // len("".join(parts))
+    began = time.process_time()
+    model.main_text(parts[0] * n + parts[1] * n)
+    assert time.process_time() - began < 8  # quadratic time would take a quarter of an hour
+
+
 def test_marginals_are_exact(model):
     """Against the sum over all labellings of a small tree."""
     nodes = html_tree.parsed("<div class=content><p>Some text, here. And more of it to read.</p><p>x</p></div><div class=ad><a>buy</a></div>")
     n, got = len(nodes), model.marginals(nodes)
     m = html_tree.Model.__new__(html_tree.Model)
-    m.ratio, m.edge = {}, model.edge
+    m.ratio, m.edge = {}, model.edge  # edges alone
     only = html_tree.Model.marginals(m, nodes)
     assert only != got
     total, on = 0.0, [0.0] * n
     for labels in itertools.product((0, 1), repeat=n):
         p = 1.0
         for i in range(1, n):
-            p *= model.edge.get(nodes[i].tag, model.edge["*"])[labels[nodes[i].parent]][labels[i]]
+            p *= model.edge.get(html_tree.kind_of(nodes[i]), model.edge["*"])[labels[nodes[i].parent]][labels[i]]
         total += p
         on = [a + p * y for a, y in zip(on, labels, strict=True)]
     assert all(abs(a / total - b) < 1e-9 for a, b in zip(on, only, strict=True))
