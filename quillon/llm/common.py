@@ -18,11 +18,13 @@ MAX_IDS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset on one
+    machine, as in tests, a temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,7 +39,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fold(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; the empty text for null."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

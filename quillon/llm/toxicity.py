@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import least_hashed, materialise, read_table
+from quillon.llm.common import fold, least_hashed, materialise, read_table
 
 #: Labelled rows that are learned from, at most.
 MAX_LABELLED = 20_000
@@ -50,11 +50,6 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).decode("utf-8").split()
 
 
-def fold(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n; the empty text for null."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words, beginnings and pairs by class: (kind, key, toxic, ordinary)."""
     tables: dict[tuple[str, int], Counter] = {}

@@ -24,10 +24,8 @@ def brute(docs):
         yield i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (len(c) + 1))) for x in w), 6)
 
 
-@pytest.mark.parametrize("head", [1e-6, 0.004])
-def test_base_scores(spark, tmp_path, monkeypatch, head):
-    monkeypatch.setattr(suffix_lm, "HEAD", head)
-    for path in (fixtures.documents(spark, tmp_path / str(head)), "/root/testdata/sf0.001"):
+def test_base_scores(spark, tmp_path):
+    for path in (fixtures.documents(spark, tmp_path), "/root/testdata/sf0.001"):
         docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
         got = suffix_lm.op10_suffix_tree_scores(spark, path).collect()
         assert Counter((*r[:5], round(r.base_score, 6)) for r in got) == Counter(brute(docs))
@@ -54,64 +52,63 @@ def test_held_out_gain(spark):
     assert len(held) > 20 and sum(r.score for r in held) > 0.75 * sum(r.base_score for r in held)
 
 
-def test_every_state_is_a_distribution():
-    rows = [(f"w{i}".encode(), 1000 - 9 * i) for i in range(100)] + [(suffix_lm.END, 50)]
-    head = suffix_lm.Head(rows, sum(n for _, n in rows), len(rows))
-    rng = np.random.default_rng(1)
-    table = []
-    for two, one in [(-1, 1), (-1, 2), (1, 2), (2, 1), (-1, 3)]:
-        symbols = rng.choice(head.symbols + 1, 20, replace=False)
-        n = rng.integers(2, 200, 20)
-        table += [(two, one, s, k, int(n.sum()) + 30) for s, k in zip(symbols, n, strict=True)]
-    tree = suffix_lm.Tree(head, np.array(table))
-    assert len(tree.one_keys) == 3 and len(tree.two_keys) == 2
-    every = np.arange(head.symbols + 1)
-    for two, one in [(-1, -1), (-1, 1), (-1, 9), (1, 2), (2, 1), (1, 1)]:
-        p = tree.probabilities(every, np.full(len(every), one), np.full(len(every), two))
-        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
-
-
 def tree_scores(docs):
-    """Scores of the tree over all words, contexts of one and two, in plain Python."""
+    """Scores of the whole tree in plain Python, and its states."""
+    depth = suffix_lm.DEPTH
     cut = {i: ["\n", *t.split(), "\n"] for i, t in docs}
-    counts = [Counter(), Counter(), Counter()]
+    counts = [Counter() for _ in range(depth + 1)]
     for i, w in cut.items():
         if zlib.crc32(str(i).encode()) % 10:
             for j in range(1, len(w)):
-                for d in range(min(j, 2) + 1):
+                for d in range(min(j, depth) + 1):
                     counts[d][tuple(w[j - d : j + 1])] += 1
     total, distinct = sum(counts[0].values()), len(counts[0])
+    every = {w for ws in cut.values() for w in ws}
+    members, mass = Counter(), Counter()
+    class_of = lambda n: int(suffix_lm.class_of(np.array([n]))[0])
+    for w in every:
+        n = counts[0][(w,)]
+        members[class_of(n)] += 1
+        mass[class_of(n)] += n + 0.1
     after = {}
-    for d in (1, 2):
+    for d in range(1, depth + 1):
         for gram, n in counts[d].items():
             after.setdefault(gram[:-1], {})[gram[-1]] = n
+    states = {}
 
     def probability(context, x):
         if not context:
-            return (counts[0][(x,)] + 0.1) / (total + 0.1 * (distinct + 1))
+            c = class_of(counts[0][(x,)])
+            return mass[c] / members[c] / (total + 0.1 * (distinct + 1))
         seen, lower = after.get(context, {}), lambda y: probability(context[1:], y)
-        of = sum(seen.values()) + 5
-        share = {y: n / of for y, n in seen.items() if n >= 2}
+        of = sum(seen.values()) + suffix_lm.PRIOR
+        share = {y: n / of for y, n in seen.items() if n >= suffix_lm.LEAST}
         left = 1 - sum(share.values())
         if context not in states:
             own = [(share[y] + left * lower(y), lower(y)) for y in share]
-            states[context] = sum(p * math.log(p / q) for p, q in own) + left * max(1 - sum(q for _, q in own), 0) * math.log(left) >= 0.01
+            states[context] = sum(p * math.log(p / q) for p, q in own) + left * max(1 - sum(q for _, q in own), 0) * math.log(left) >= suffix_lm.DIVERGENCE
         return share.get(x, 0) + left * lower(x) if states[context] else lower(x)
 
-    states = {}
-    scores = {i: sum(math.log10(probability(tuple(w[max(0, j - 2) : j]), w[j])) for j in range(1, len(w))) for i, w in cut.items()}
+    scores = {i: sum(math.log10(probability(tuple(w[max(0, j - depth) : j]), w[j])) for j in range(1, len(w))) for i, w in cut.items()}
+    # a state's distribution over all words adds up to one, but for the words that none has seen
+    for context in random.Random(1).sample(sorted(c for c, k in states.items() if k), 20):
+        assert 0.99 < sum(probability(context, x) for x in every) < 1.01
     return scores, states
 
 
-def test_rare_contexts_have_states(spark):
-    """Words of a few occurrences among 60,000 are contexts, alone and in pairs, and symbols of their own."""
+@pytest.mark.parametrize(("bucket", "block"), [(None, None), (3000, 4000), (400, 4000), (60, 20_000)])
+def test_tree_against_plain_python(spark, monkeypatch, bucket, block):
+    """Small buckets make hot contexts of one, two and more words."""
+    if block:
+        monkeypatch.setattr(suffix_lm, "BLOCK", block)
     random.seed(5)
     common = [f"w{i}" for i in range(40)]
-    docs = [(i, " ".join(random.choices(common, k=150))) for i in range(400)]
-    docs += [(1000 + i, f"rarely {random.choice(common)} seen words meet again") for i in range(30)]
-    got = {r.doc_id: r for r in suffix_lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    docs = [(i, " ".join(random.choices(common, weights=range(1, 41), k=60))) for i in range(300)]
+    docs += [(1000 + i, f"rarely {random.choice(common)} seen words meet again, {random.randrange(10**9)} times or {'more' if i % 2 else 'less'}") for i in range(60)]
+    docs += [(2000 + i, "many copies of one text, word by word, hot at any depth") for i in range(150)]
+    got = {r.doc_id: r for r in suffix_lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bucket).collect()}
     want, states = tree_scores(docs)
-    assert all(abs(got[i].score - want[i]) < 1e-6 for i, _ in docs)
-    assert states[("words",)] and sum(len(c) == 2 and k for c, k in states.items()) > 0
+    assert max(abs(got[i].score - want[i]) for i, _ in docs) < 1e-4
+    assert {len(c) for c, k in states.items() if k} == {1, 2, 3, 4}
     held = [r for i, r in got.items() if i >= 1000 and r.held_out]
     assert held and sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
