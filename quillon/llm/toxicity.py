@@ -1,28 +1,34 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two language models, of toxic and of ordinary texts, are estimated alike from
-labelled rows by absolute discounting: a word after a word backs off to the
-word, the word to its first six characters, these to the first four, and these
-to the distribution of both classes together. What is rare in both classes is
-thus alike in both and cancels, and a rare form is judged by its beginning. A
-text's feature is the difference of the two log-likelihoods by word, of which
-each word adds what exceeds a margin, together with the difference by root of
-the length, which says how sure it is; a logistic function of both, fitted on
-labelled rows that the counts do not include, gives the score.
+Two bigram models, of toxic and of ordinary texts, are estimated from labelled
+rows by absolute discounting. A pair of words backs off to the word, by the
+number of different words before it (its continuation count), the word to its
+first six characters, these to the first four, and these to the continuation
+counts of both classes together. What a level takes off its counts, and a number
+of counts more that both classes get from the level above (``SHARED``), is dealt
+out by the level above, so that every level's probabilities add up to one. What is
+rare in both classes is thus nearly alike in both, and a rare form is judged by
+its beginning.
+
+Only a part of a toxic text's words are toxic: its model is the ordinary one with a share
+``TOXIC`` of the toxic one. A text's feature is the difference of the two
+log-likelihoods over its number of words, as a logarithm above the least that it can be.
+A logistic function of it and of the logarithm of the number of words, which says how sure it is,
+gives the score. It is fitted on a quarter of the labelled rows, with models of the other three;
+the models that score are then estimated from all.
 
 Only rows whose fold is not 0 are learned from, at most ``MAX_LABELLED`` of
-them (those with the least md5 of their id); of these a quarter is for the
-logistic function. Every text is scored whole.
+them (those with the least md5 of their id). Every text is scored whole. Counts up to the discount leave nothing of
+their own, so that the driver holds the pairs, words and beginnings above it alone.
 
 Defined cases: null, empty and wordless texts have no difference, hence the
 score that the logistic function has there; labels that are null or contradict
 each other count by their maximum; without labels of both classes every score
-is 0; null ids have fold 0; empty tables give no rows.
+is 0; null ids have fold 0; empty tables give no rows; a column named score is replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,108 +37,155 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import fold, least_hashed, materialise, read_table
+from quillon.llm.common import fold, least_hashed, materialise, read_table, text_key
+from quillon.llm.shingles import mixed, slices, word_spans
 
 #: Labelled rows that are learned from, at most.
 MAX_LABELLED = 20_000
-#: Discount; least count of a word and of a pair that have an estimate of their own.
-DISCOUNT, LEAST_WORD, LEAST_PAIR = 0.75, 3, 8
-#: Shared counts that stand behind each expression's own, and the difference that a word must exceed.
-BACKOFF, MARGIN = 4.0, 2.0
-STEMS = (6, 4)
-#: Entries of a worker's tables before they are written out or emptied.
-FLUSH = 400_000
+#: What is taken off each count; counts more that the level above gets, for a pair's first word and for words and beginnings.
+DISCOUNT, SHARED_PAIRS, SHARED = 3, 1e3, 1e4
+#: Characters of beginnings; the toxic model's share in a toxic text's model.
+STEMS, TOXIC = (6, 4), 0.002
+#: What stands before a text's first word.
+START = " "
+#: Entries of a worker's tables before they are written out or emptied; bytes of texts in a step.
+FLUSH, SLICE = 400_000, 4 << 20
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_FIRST = np.uint64(0x5DEECE66D)
+
+
+def bare(text: str | None) -> bytes:
+    """In lower case, with blanks for all but letters, digits and what lies beyond ASCII."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_BLANK)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case words: runs of letters and digits, with all that lies beyond ASCII."""
-    return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).decode("utf-8").split()
+    return [w for w in bare(text).decode("utf-8").split(" ") if w]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words, beginnings and pairs by class: (kind, key, toxic, ordinary)."""
-    tables: dict[tuple[str, int], Counter] = {}
+    """Partial counts of pairs by class: (before, word, toxic, ordinary)."""
+    tables = (Counter(), Counter())
 
     def emptied():
-        for (kind, toxic), counter in tables.items():
-            n = list(counter.values())
-            zero = [0] * len(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(n)), pa.array(list(counter)), pa.array(n if toxic else zero, pa.int64()), pa.array(zero if toxic else n, pa.int64())],
-                names=["kind", "key", "toxic", "ordinary"],
-            )
-        tables.clear()
+        for toxic, counter in enumerate(tables):
+            n, zero = pa.array(list(counter.values()), pa.int64()), pa.array([0] * len(counter), pa.int64())
+            before, word = (pa.array([p[k] for p in counter], pa.string()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([before, word, *((n, zero) if toxic else (zero, n))], names=["before", "word", "toxic", "ordinary"])
+            counter.clear()
 
     for batch in batches:
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            words = words_of(text)
-            tables.setdefault(("word", toxic), Counter()).update(words)
-            tables.setdefault(("pair", toxic), Counter()).update(map(" ".join, zip(words, words[1:], strict=False)))
-            if sum(map(len, tables.values())) > FLUSH:
+        for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
+            words = words_of(text.as_py())
+            tables[bool(toxic)].update(zip([START, *words], words, strict=False))
+            if sum(map(len, tables)) > FLUSH:
                 yield from emptied()
     yield from emptied()
 
 
 class Model:
-    """Differences of log-probability, toxic less ordinary, for words, beginnings and pairs.
+    """How many times likelier a word is in the toxic model than in the ordinary one, by the word before it.
 
-    An expression x has in class c the probability
-    ``P(x) * (max(n_c - D, 0) + B * r_c(parent)) / (max(e_c - D, 0) + B)``, where P is
-    the distribution of both classes together, e_c the count that it lets expect
-    and r_c the parent's own ratio: what is discounted, and B counts more, go to
-    the backoff that both classes share.
+    ``levels``: by falling length (words, six characters, four) the kept entries' counts (toxic, ordinary), with
+    the level's sums of counts and of what is taken off them, by class. ``pairs``: kept (before, word) with counts;
+    ``before``: sums of counts and of what is taken off, by class, of the words that kept pairs begin with.
     """
 
-    def __init__(self, words: list[tuple[str, int, int]], pairs: list[tuple[str, int, int]]):
-        totals = np.array([sum(w[1] for w in words), sum(w[2] for w in words)], float)
-        part = totals / max(totals.sum(), 1.0)
-
-        def ratio(n: np.ndarray, parent: np.ndarray) -> np.ndarray:
-            expected = n.sum() * part
-            return (np.maximum(n - DISCOUNT, 0) + BACKOFF * parent) / (np.maximum(expected - DISCOUNT, 0) + BACKOFF)
-
-        levels: list[dict[str, np.ndarray]] = []
-        for size in sorted(STEMS):
-            count: dict[str, np.ndarray] = {}
-            for w, t, o in words:
-                count.setdefault(w[:size], np.zeros(2))
-                count[w[:size]] += (t, o)
-            above = levels[-1] if levels else {}
-            levels.append({k: ratio(n, above.get(k[: min(STEMS)], np.ones(2))) for k, n in count.items()})
-        four, six = levels
-        own = {w: ratio(np.array([t, o], float), six[w[: max(STEMS)]]) for w, t, o in words if t + o >= LEAST_WORD}
-        difference = lambda table: {k: float(math.log(r[0]) - math.log(r[1])) for k, r in table.items()}
-        self.word, self.six, self.four = difference(own), difference(six), difference(four)
-        seconds = {p: p.split(" ")[1] for p, t, o in pairs if t + o >= LEAST_PAIR}
-        self.pair = difference({p: ratio(np.array([t, o], float), own[seconds[p]]) for p, t, o in pairs if seconds.get(p) in own})
-
-    def unseen_word(self, word: str) -> float:
-        six, four = word[: max(STEMS)], word[: min(STEMS)]
-        return self.six[six] if six in self.six else self.four.get(four, 0.0)
-
-
-def _scaled(by_word: float, by_root: float) -> tuple[float, float]:
-    """Logarithms, so that a few very large differences don't decide where the logistic function turns."""
-    return math.log(0.01 + max(by_word, 0.0)), math.log(0.1 + max(by_root, 0.0))
-
-
-def features(model: Model, words: list[str], memo: dict[str, float]) -> tuple[float, float]:
-    """The difference of the log-likelihoods by word, and by root of the number of words."""
-    if not words:
-        return _scaled(0.0, 0.0)
-    own = list(map(memo.get, words))
-    if None in own:
-        for i, x in enumerate(own):
-            if x is None:
-                own[i] = memo[words[i]] = model.unseen_word(words[i])
-    values = np.array(own)
-    if model.pair:
-        found = list(map(model.pair.get, map(" ".join, zip(words, words[1:], strict=False))))
-        values[1:] = np.where([x is None for x in found], values[1:], np.array(found, float))
-    # slight preferences of a language or subject must not add up
-    total = float((np.maximum(values - MARGIN, 0) + np.minimum(values + MARGIN, 0)).sum())
-    return _scaled(total / len(words), total / math.sqrt(len(words)))
+    def __init__(self, levels, pairs: dict[tuple[str, str], tuple[int, int]], before: dict[str, tuple[tuple[int, int], tuple[int, int]]]):
+        above: dict[str, tuple[float, float]] = {}
+        self.levels: list[tuple[int | None, dict, tuple[float, float]]] = []
+        for size, (kept, sums, taken) in reversed(list(zip((None, *STEMS), levels, strict=True))):
+            back = tuple((t + SHARED) / (n + SHARED) for n, t in zip(sums, taken, strict=True))
+            total = sum(sums)
+            table = {}
+            for key, counts in kept.items():
+                pooled = sum(counts) / total
+                parent = self._above(key)
+                # each class's probability over the pooled one
+                table[key] = tuple(max(k - DISCOUNT, 0) / (n + SHARED) / pooled + b * r for k, n, b, r in zip(counts, sums, back, parent, strict=True))
+            self.levels.insert(0, (size, table, back))
+        pooled = {w: sum(c) / max(sum(levels[0][1]), 1) for w, c in levels[0][0].items()}
+        self.before = {v: tuple((t + SHARED_PAIRS) / (n + SHARED_PAIRS) for n, t in zip(*sums, strict=True)) for v, sums in before.items()}
+        self.pairs = {}
+        for (v, w), counts in pairs.items():
+            own = [
+                max(k - DISCOUNT, 0) / (n + SHARED_PAIRS) + b * pooled[w] * r
+                for k, n, b, r in zip(counts, before[v][0], self.before[v], self.levels[0][1][w], strict=True)
+            ]
+            self.pairs[v, w] = own[0] / own[1]
+        self.begins = {v: b[0] / b[1] for v, b in self.before.items()}
+        key = lambda w: int(hashed([w])[0])
+        found = sorted((int(paired(np.array([key(v)], np.uint64), np.array([key(w)], np.uint64))[0]), r) for (v, w), r in self.pairs.items())
+        self.pair_keys, self.pair_ratios = np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found])
+        self.hashed_begins = {key(v): r for v, r in self.begins.items()}
+
+    def _above(self, key: str) -> tuple[float, float]:
+        """Both classes' probabilities of what ``key`` backs off to, over the pooled ones, from the levels made so far."""
+        out = (1.0, 1.0)
+        for size, table, back in reversed(self.levels):
+            known = table.get(key[:size])
+            out = known or tuple(b * r for b, r in zip(back, out, strict=True))
+        return out
+
+    def word(self, word: str) -> float:
+        """The ratio for a word after any that begins no kept pair."""
+        toxic, ordinary = self._above(word)
+        return toxic / ordinary
+
+    def ratio(self, before: str, word: str) -> float:
+        return self.pairs.get((before, word)) or self.begins.get(before, 1.0) * self.word(word)
+
+
+def hashed(words: list[str]) -> np.ndarray:
+    return np.concatenate([_FIRST[None] if w == START else word_spans([w.encode()])[0] for w in words])
+
+
+def paired(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+class Memo(dict):
+    """Ratios by words' hashes, for one worker."""
+
+    def ratios(self, model: Model, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, buf: np.ndarray) -> np.ndarray:
+        """The ratio of each word after the one before it; ``hashes`` has ``_FIRST`` at each text's start, whose value is none."""
+        if len(self) > 2 * FLUSH:
+            self.clear()
+        keys, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        listed = keys.tolist()
+        own = list(map(self.get, listed))
+        if None in own:
+            raw = buf.tobytes()
+            for i, x in enumerate(own):
+                if x is None:
+                    k = int(first[i])
+                    own[i] = self[listed[i]] = 1.0 if listed[i] == int(_FIRST) else model.word(raw[start[k] : end[k]].decode())
+        begins = np.array([model.hashed_begins.get(k, 1.0) for k in listed])[at]
+        out = np.array(own)[at]
+        out[1:] *= begins[:-1]
+        if len(model.pair_keys):
+            some = np.flatnonzero(begins[:-1] != 1.0) + 1
+            wanted = paired(hashes[some - 1], hashes[some])
+            place = np.minimum(np.searchsorted(model.pair_keys, wanted), len(model.pair_keys) - 1)
+            hit = model.pair_keys[place] == wanted
+            out[some[hit]] = model.pair_ratios[place[hit]]
+        return out
+
+
+def differences(model: Model, texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's difference of log-likelihoods by word (0 for texts without words), and its number of words."""
+    hashes, owner, start, end, buf = word_spans(texts)
+    # a text's first word comes after the start
+    firsts = np.searchsorted(owner, np.flatnonzero(np.bincount(owner, minlength=len(texts))))
+    ratio = memo.ratios(model, np.insert(hashes, firsts, _FIRST), np.insert(start, firsts, 0), np.insert(end, firsts, 0), buf)
+    ratio = np.delete(ratio, firsts + np.arange(len(firsts)))
+    n = np.bincount(owner, minlength=len(texts))
+    return np.bincount(owner, np.log1p(TOXIC * (ratio - 1)), len(texts)) / np.maximum(n, 1), n
+
+
+def features(difference: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The logarithm of how far the difference is above the least that it can be, and that of the number of words."""
+    return np.column_stack([np.log(0.01 + (difference - np.log1p(-TOXIC)) / TOXIC), np.log1p(n)])
 
 
 def fitted_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -155,21 +208,17 @@ def _scorer(model, weights: np.ndarray | None):
     """``model``: a broadcast model, or None; yields features, or scores where weights are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.value if model is not None else None
-        memo = dict(tables.word) if tables else {}
+        tables, memo = model.value if model is not None else None, Memo()
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                found.append(features(tables, words_of(text.as_py()), memo) if tables else (0.0, 0.0))
-                if tables and len(memo) > len(tables.word) + FLUSH:
-                    memo = dict(tables.word)
-            keep = [c for c in batch.schema.names if c != "text"]
+            texts = [bare(t.as_py()) for t in batch["text"]]
+            parts = [differences(tables, texts[a:b], memo) if tables else (np.zeros(b - a), np.zeros(b - a)) for a, b in slices(texts, SLICE)]
+            x = features(*(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1)))
             if weights is None:
-                added = {"by_word": pa.array([f[0] for f in found], pa.float64()), "by_root": pa.array([f[1] for f in found], pa.float64())}
+                added = {"by_word": x[:, 0], "length": x[:, 1]}
             else:
-                z = np.array([weights[0] + weights[1] * a + weights[2] * b for a, b in found], float)
-                added = {"score": pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))), pa.float64())}
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *added.values()], names=[*keep, *added])
+                added = {"score": 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -60, 60)))}
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(v, pa.float64()) for v in added.values())], names=[*keep, *added])
 
     return run
 
@@ -187,29 +236,67 @@ class Toxicity:
         return df.drop("score").mapInArrow(_scorer(self.model, self.weights), f"{kind}, score double")
 
 
-def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Toxicity:
-    """Learns from (doc_id, text) and (doc_id, toxic); fold 0 of five is left out."""
-    spark = docs.sparkSession
+CLASSES = ("toxic", "ordinary")
+
+
+def _sums(df: DataFrame) -> tuple[tuple[int, int], tuple[int, int]]:
+    """By class: the sum of the counts, and of what is taken off them."""
+    parts = [F.coalesce(F.sum(c), F.lit(0)) for c in CLASSES] + [F.coalesce(F.sum(F.least(c, F.lit(DISCOUNT))), F.lit(0)) for c in CLASSES]
+    row = df.agg(*[p.cast("long").alias(f"s{i}") for i, p in enumerate(parts)]).first()
+    return (row[0], row[1]), (row[2], row[3])
+
+
+def estimated(sample: DataFrame) -> Model:
+    """The model of (text, toxic)."""
+    counted = sample.select("text", "toxic").mapInArrow(_counts, "before string, word string, toxic long, ordinary long")
+    pairs = materialise(counted.groupBy("before", "word").agg(*[F.sum(c).alias(c) for c in CLASSES]), "toxic-pairs")
+    seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in CLASSES]
+    words = materialise(pairs.groupBy("word").agg(*seen, F.max(F.greatest(*CLASSES)).alias("most")), "toxic-words")
+    above = F.greatest(*CLASSES) > DISCOUNT
+    # a word that ends a kept pair is kept as well
+    levels, level = [], words.withColumnRenamed("word", "key")
+    for size in (None, *STEMS):
+        if size:
+            level = words.groupBy(F.substring("word", 1, size).alias("key")).agg(*[F.sum(c).alias(c) for c in CLASSES])
+        kept = level.filter(above | (F.col("most") > DISCOUNT) if size is None else above).select("key", *CLASSES).toArrow()
+        columns = [kept[c].to_pylist() for c in ("key", *CLASSES)]
+        levels.append(({k: (t, o) for k, t, o in zip(*columns, strict=True)}, *_sums(level)))
+    listed = pairs.filter(above).toArrow()
+    kept_pairs = {(v, w): (t, o) for v, w, t, o in zip(*(listed[c].to_pylist() for c in ("before", "word", *CLASSES)), strict=True)}
+    taken = [F.sum(F.least(c, F.lit(DISCOUNT))).alias(f"{c}_taken") for c in CLASSES]
+    begun = pairs.groupBy("before").agg(*[F.sum(c).alias(c) for c in CLASSES], *taken, F.max(F.greatest(*CLASSES)).alias("most")).filter(F.col("most") > DISCOUNT).toArrow()
+    before = {v: ((t, o), (tt, oo)) for v, t, o, tt, oo in zip(*(begun[c].to_pylist() for c in ("before", *CLASSES, "toxic_taken", "ordinary_taken")), strict=True)}
+    return Model(levels, kept_pairs, before)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """(doc_id, toxic, text): at most ``max_labelled`` rows, whatever ids are repeated."""
     chosen = (
         labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id"), 5) != 0)
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
     chosen = least_hashed(chosen, max_labelled, F.col("doc_id"))  # at most max_labelled pairs of numbers
-    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    found = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    if found.count() > max_labelled:
+        found = materialise(found.orderBy(F.md5(F.col("doc_id").cast("string")), text_key()).limit(max_labelled), "toxic-sample")
+    return found
+
+
+def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Toxicity:
+    """Learns from (doc_id, text) and (doc_id, toxic); fold 0 of five is left out."""
+    spark = docs.sparkSession
+    sample = labelled_sample(docs, labels, max_labelled)
     apart = F.md5(F.concat(F.lit("part"), F.col("doc_id").cast("string"))) < "4"
-    counts = sample.filter(~apart).select("text", "toxic").mapInArrow(_counts, "kind string, key string, toxic long, ordinary long")
-    counts = counts.groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    found = counts.filter(f"kind = 'word' or toxic + ordinary >= {LEAST_PAIR}").toArrow()
-    rows = list(zip(*(found[c].to_pylist() for c in ("kind", "key", "toxic", "ordinary")), strict=True))
-    model = Model(sorted(r[1:] for r in rows if r[0] == "word"), sorted(r[1:] for r in rows if r[0] == "pair"))
-    shared = spark.sparkContext.broadcast(model)
-    rest = sample.filter(apart).select("toxic", "text").mapInArrow(_scorer(shared, None), "toxic int, by_word double, by_root double").toArrow()
-    y = np.array(rest["toxic"].to_pylist(), float)
-    if not 0 < y.sum() < len(y) or not model.word:
-        return Toxicity(None, np.array([-60.0, 0.0, 0.0]))
-    order = np.lexsort((rest["by_root"].to_numpy(), y))
-    x = np.column_stack([rest["by_word"].to_numpy(), rest["by_root"].to_numpy()])
-    return Toxicity(shared, fitted_logistic(x[order], y[order]))
+    model = estimated(sample.filter(~apart))
+    nothing = Toxicity(None, np.array([-60.0, 0.0, 0.0]))
+    if not model.levels[0][1]:
+        return nothing
+    rest = sample.filter(apart).select("toxic", "text").mapInArrow(_scorer(spark.sparkContext.broadcast(model), None), "toxic int, by_word double, length double").toArrow()
+    y, x = np.array(rest["toxic"].to_pylist(), float), np.column_stack([rest["by_word"].to_numpy(), rest["length"].to_numpy()])
+    if not 0 < y.sum() < len(y):
+        return nothing
+    order = np.lexsort((*x.T, y))
+    return Toxicity(spark.sparkContext.broadcast(estimated(sample)), fitted_logistic(x[order], y[order]))
 
 
 def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
