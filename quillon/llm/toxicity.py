@@ -92,52 +92,62 @@ class Model:
     """
 
     def __init__(self, levels, pairs: dict[tuple[str, str], tuple[int, int]], before: dict[str, tuple[tuple[int, int], tuple[int, int]]]):
-        above: dict[str, tuple[float, float]] = {}
-        self.levels: list[tuple[int | None, dict, tuple[float, float]]] = []
+        # from the shortest beginnings up: each class's probability over the pooled one, and the share that goes to the level above
+        made: list[tuple[int | None, dict, tuple[float, float]]] = []
+
+        def above(key: str) -> tuple[float, float]:
+            out = (1.0, 1.0)
+            for size, table, back in made:
+                out = table.get(key[:size]) or (back[0] * out[0], back[1] * out[1])
+            return out
+
         for size, (kept, sums, taken) in reversed(list(zip((None, *STEMS), levels, strict=True))):
             back = tuple((t + SHARED) / (n + SHARED) for n, t in zip(sums, taken, strict=True))
-            total = sum(sums)
             table = {}
             for key, counts in kept.items():
-                pooled = sum(counts) / total
-                parent = self._above(key)
-                # each class's probability over the pooled one
-                table[key] = tuple(max(k - DISCOUNT, 0) / (n + SHARED) / pooled + b * r for k, n, b, r in zip(counts, sums, back, parent, strict=True))
-            self.levels.insert(0, (size, table, back))
-        pooled = {w: sum(c) / max(sum(levels[0][1]), 1) for w, c in levels[0][0].items()}
-        self.before = {v: tuple((t + SHARED_PAIRS) / (n + SHARED_PAIRS) for n, t in zip(*sums, strict=True)) for v, sums in before.items()}
-        self.pairs = {}
+                pooled = sum(counts) / sum(sums)
+                table[key] = tuple(max(k - DISCOUNT, 0) / (n + SHARED) / pooled + b * r for k, n, b, r in zip(counts, sums, back, above(key), strict=True))
+            made.append((size, table, back))
+        words = made[-1][1]
+        self.known = {w: r[0] / r[1] for w, r in words.items()}
+        # of words that are not kept: by their longest beginning that is
+        self.stems, steps = [], 1.0
+        for size, table, back in reversed(made):
+            if size:
+                self.stems.append((size, {k: steps * r[0] / r[1] for k, r in table.items()}))
+            steps *= back[0] / back[1]
+        self.other = steps
+        shares = {v: tuple((t + SHARED_PAIRS) / (n + SHARED_PAIRS) for n, t in zip(*sums, strict=True)) for v, sums in before.items()}
+        total = max(sum(levels[0][1]), 1)
+        ratios = []
         for (v, w), counts in pairs.items():
-            own = [
-                max(k - DISCOUNT, 0) / (n + SHARED_PAIRS) + b * pooled[w] * r
-                for k, n, b, r in zip(counts, before[v][0], self.before[v], self.levels[0][1][w], strict=True)
-            ]
-            self.pairs[v, w] = own[0] / own[1]
-        self.begins = {v: b[0] / b[1] for v, b in self.before.items()}
-        key = lambda w: int(hashed([w])[0])
-        found = sorted((int(paired(np.array([key(v)], np.uint64), np.array([key(w)], np.uint64))[0]), r) for (v, w), r in self.pairs.items())
-        self.pair_keys, self.pair_ratios = np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found])
-        self.hashed_begins = {key(v): r for v, r in self.begins.items()}
-
-    def _above(self, key: str) -> tuple[float, float]:
-        """Both classes' probabilities of what ``key`` backs off to, over the pooled ones, from the levels made so far."""
-        out = (1.0, 1.0)
-        for size, table, back in reversed(self.levels):
-            known = table.get(key[:size])
-            out = known or tuple(b * r for b, r in zip(back, out, strict=True))
-        return out
+            pooled = sum(levels[0][0][w]) / total
+            own = [max(k - DISCOUNT, 0) / (n + SHARED_PAIRS) + b * pooled * r for k, n, b, r in zip(counts, before[v][0], shares[v], words[w], strict=True)]
+            ratios.append(own[0] / own[1])
+        self.begins = dict(zip(hashed(list(shares)).tolist(), (b[0] / b[1] for b in shares.values()), strict=True))
+        keys = paired(hashed([v for v, _ in pairs]), hashed([w for _, w in pairs]))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ratios = keys[order], np.array(ratios)[order]
 
     def word(self, word: str) -> float:
         """The ratio for a word after any that begins no kept pair."""
-        toxic, ordinary = self._above(word)
-        return toxic / ordinary
+        found = self.known.get(word)
+        for size, table in self.stems:
+            if found is None:
+                found = table.get(word[:size])
+        return self.other if found is None else found
 
     def ratio(self, before: str, word: str) -> float:
-        return self.pairs.get((before, word)) or self.begins.get(before, 1.0) * self.word(word)
+        v, w = hashed([before]), hashed([word])
+        hit = np.flatnonzero(self.pair_keys == paired(v, w)[0])
+        return float(self.pair_ratios[hit[0]]) if len(hit) else self.begins.get(int(v[0]), 1.0) * self.word(word)
 
 
 def hashed(words: list[str]) -> np.ndarray:
-    return np.concatenate([_FIRST[None] if w == START else word_spans([w.encode()])[0] for w in words])
+    out = np.full(len(words), _FIRST)
+    some = [i for i, w in enumerate(words) if w != START]
+    out[some] = word_spans([" ".join(words[i] for i in some).encode()])[0]
+    return out
 
 
 def paired(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -160,7 +170,7 @@ class Memo(dict):
                 if x is None:
                     k = int(first[i])
                     own[i] = self[listed[i]] = 1.0 if listed[i] == int(_FIRST) else model.word(raw[start[k] : end[k]].decode())
-        begins = np.array([model.hashed_begins.get(k, 1.0) for k in listed])[at]
+        begins = np.array([model.begins.get(k, 1.0) for k in listed])[at]
         out = np.array(own)[at]
         out[1:] *= begins[:-1]
         if len(model.pair_keys):
@@ -289,7 +299,7 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     apart = F.md5(F.concat(F.lit("part"), F.col("doc_id").cast("string"))) < "4"
     model = estimated(sample.filter(~apart))
     nothing = Toxicity(None, np.array([-60.0, 0.0, 0.0]))
-    if not model.levels[0][1]:
+    if not model.known:
         return nothing
     rest = sample.filter(apart).select("toxic", "text").mapInArrow(_scorer(spark.sparkContext.broadcast(model), None), "toxic int, by_word double, length double").toArrow()
     y, x = np.array(rest["toxic"].to_pylist(), float), np.column_stack([rest["by_word"].to_numpy(), rest["length"].to_numpy()])

@@ -87,7 +87,7 @@ def test_models_are_kneser_ney(spark):
         rows.append((" ".join(w) + (" you utter scumlord" if toxic else " as it is"), int(toxic)))
     p, words, befores = brute([(t, 1 - y) for t, y in rows])
     model = toxicity.estimated(spark.createDataFrame(rows, "text string, toxic int"))
-    assert len(model.pairs) > 10
+    assert len(model.pair_keys) > 10
     for v in [*rng.sample(befores, 8), "utter", toxicity.START]:
         for c in (0, 1):
             assert abs(sum(p(c, v, w) for w in words) - 1) < 1e-9
