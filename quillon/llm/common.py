@@ -86,22 +86,19 @@ def picked(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as decided, with their texts.
 
     ``decided``: doc_id, text_key, rows (how many rows of ``docs`` are equal in
-    both) and copies (how often they appear, all together).
+    both) and copies (how often they appear, all together). Columns of ``docs`` may have any names.
     """
-    columns = docs.columns
-    wanted = decided.filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("rows").alias("_rows"), F.col("copies").cast("int").alias("_copies")
-    )
-    wanted = materialise(wanted, "wanted")
+    wanted = materialise(decided.filter("copies > 0").select("doc_id", "text_key", "rows", F.col("copies").cast("int").alias("copies")), "wanted")
     few = wanted.count() <= MAX_IDS
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # so that no name of theirs is in the way
+    key = F.xxhash64(F.coalesce(F.col("doc.text"), F.lit("")))
 
     def found(part: DataFrame) -> DataFrame:
-        on = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-        return docs.join(F.broadcast(part) if few else part, on)
+        return held.join(F.broadcast(part) if few else part, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (key == F.col("text_key")))
 
-    repeated = found(wanted.filter("_rows > 1")).dropDuplicates(["_id", "_key"])
-    rows = found(wanted.filter("_rows = 1")).unionByName(repeated)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    repeated = found(wanted.filter("rows > 1")).dropDuplicates(["doc_id", "text_key"])
+    rows = found(wanted.filter("rows = 1")).unionByName(repeated)
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def least_hashed(df: DataFrame, n: int, key: Column) -> DataFrame:

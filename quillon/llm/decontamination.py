@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import lower_ascii, read_table
+from quillon.llm.common import lower_ascii, materialise, read_table
 
 WINDOW, STRIDE = 13, 9
 #: Anchors that a plan may hold, and windows that may be broadcast with their texts (about 150 bytes each).
@@ -123,10 +123,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remove_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(_row, doc_id, clean_words): the normalised words of each row without those hit."""
-    hits = find_hits(docs, items).withColumn("hit", F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.at, s.at + s.length - 1))))"))
-    words = docs.select(F.monotonically_increasing_id().alias("_row"), normal_words("text").alias("w"))
+    # numbered once and written, as another reading may number rows otherwise
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("_id"), "doc_id", "text"), "numbered")
+    hits = find_hits(rows, items, ("_id",)).withColumn("hit", F.expr("array_distinct(flatten(transform(spans, s -> sequence(s.at, s.at + s.length - 1))))"))
+    words = rows.select(F.col("_id").alias("_row"), "doc_id", normal_words("text").alias("w"))
     left = F.expr("filter(w, (x, i) -> not array_contains(hit, i))")
-    return words.join(hits.select("_row", "doc_id", "hit"), "_row").select("_row", "doc_id", F.when(F.size("hit") == 0, F.col("w")).otherwise(left).alias("clean_words"))
+    return words.join(hits.select(F.col("_id").alias("_row"), "hit"), "_row").select("_row", "doc_id", F.when(F.size("hit") == 0, F.col("w")).otherwise(left).alias("clean_words"))
 
 
 OP5_SQL = rf"""

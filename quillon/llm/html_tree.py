@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillon.llm.common import read_table
 
@@ -533,8 +534,9 @@ def _extractor(model: Model):
 def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Replaces ``html`` by ``text`` and ``n_chars``; the other columns stay."""
     pages = pages.drop("text", "n_chars")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html")
-    return pages.mapInArrow(_extractor(model or trained()), f"{kind}, text string, n_chars long")
+    others = [f for f in pages.schema.fields if f.name != "html"]
+    kind = StructType([*others, StructField("text", StringType()), StructField("n_chars", LongType())])
+    return pages.mapInArrow(_extractor(model or trained()), kind)
 
 
 def op1_dom_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

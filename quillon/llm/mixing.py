@@ -14,7 +14,7 @@ Targets are ``min(2 * size, level * weight)`` with the level that spends the
 budget: what resharing by weight leads to. It is found by one pass over the
 sources in the order of size by weight.
 
-Bounds: no task holds more than a chunk of slots, a hash bucket of a source or
+Bounds: no task holds more than a chunk of slots, a hash bucket of a source (they grow in number with the rows) or
 one row for each source; texts are read once for their size and never moved.
 
 Defined cases: null and blank texts have size 0 and take no block; null
@@ -25,6 +25,8 @@ kept.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ BLOCK = 4096
 GOLDEN, RANGE = 1327217885, 1 << 31
 #: Slots that are ranked in one group, and cells that the unit interval is cut into for the lookup.
 CHUNK, CELLS = 2048, 1024
+#: Rows of a source that are summed in one group, about.
+GROUP = 100_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -72,8 +76,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
 
 
 def laid_out(sized: DataFrame, seed: str = SEED, digits: int = 2) -> DataFrame:
-    """Adds ``at``, the words of the source that come before the row in its shuffled stream, and ``_row``."""
-    keyed = sized.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    """Adds ``at``, the words of the source that come before the row in its shuffled stream, and ``_row``.
+
+    A source's rows are summed in 16 ** ``digits`` groups; rows with the same id and size share one.
+    """
+    named = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    keyed = sized.withColumn("_h", F.md5(named))
     keyed = keyed.withColumn("_b", F.substring("_h", 1, digits))
     before = keyed.groupBy("source", "_b").agg(F.sum("size").alias("_n")).select(
         F.col("source").alias("_s"), F.col("_b").alias("_sb"),
@@ -121,15 +129,17 @@ def mix_sources(df: DataFrame, block: int = BLOCK, seed: str = SEED) -> tuple[Da
     pieces: slot, source, block, _row, doc_id, size, pass, from, to: words
     ``from``..``to`` of the document stand in that slot; order by slot, then by
     ``at`` + pass * source_size. documents: the rows with source_size, target,
-    at, _row and ``taken``, the words that the mix takes of them.
+    at, _row and ``taken``, the words that the mix takes of them, with the
+    first and last slot of the schedule that has some of these.
     """
     spark = df.sparkSession
     df = materialise(df, "mix-sizes")  # narrow; the texts are not read again
     targets = materialise(source_targets(df.select("source", "size")), "mix-targets")
-    total = df.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, rows = df.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     slots = schedule(spark, targets, -(-3 * total // (2 * block)) + CHUNK, block).select(F.col("source").alias("_s"), F.col("block").alias("_k"), "slot")
     goals = targets.select(F.col("source").alias("_g"), "source_size", "target")
-    laid = laid_out(df, seed).join(goals, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
+    digits = max(2, math.ceil(math.log(max(rows / GROUP, 1), 16)))
+    laid = laid_out(df, seed, digits).join(goals, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
     # a row without words keeps one entry that no slot can have
     spans = F.when(F.col("size") > 0, F.array(F.lit(0), F.lit(1)))
     passes = laid.withColumn("pass", F.explode_outer(spans)).withColumn("_at", F.col("at") + F.col("pass") * F.col("source_size"))
@@ -146,16 +156,16 @@ def mix_sources(df: DataFrame, block: int = BLOCK, seed: str = SEED) -> tuple[Da
     )
     keys = [*df.columns, "source_size", "target", "at", "_row"]
     taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("to") - F.col("from"))), F.lit(0))
-    return pieces, pieces.groupBy(*keys).agg(taken.cast("long").alias("taken"))
+    return pieces, pieces.groupBy(*keys).agg(taken.cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix_sources(docs)[1].select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs)[1].select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 def op3_sql(seed: str = SEED) -> str:
-    """DuckDB SQL for the same rows: the blocks that the schedule uses are each source's first words up to its target."""
+    """DuckDB SQL for the same rows: targets, streams, and the schedule's slots by source."""
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
@@ -174,10 +184,29 @@ t AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size, w * (SELECT max(lv) FROM level)) AS target FROM s),
 o AS (
   SELECT d.*, t.source_size, t.target, (sum(size) OVER (PARTITION BY d.source
-    ORDER BY md5('{seed}|' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+    ORDER BY md5('{seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || size), doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS pos
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+span AS (
+  SELECT source, floor(target)::BIGINT AS goal, (floor(target)::BIGINT + {BLOCK - 1}) // {BLOCK} AS need,
+    sum(target) OVER (ORDER BY source NULLS LAST) / sum(target) OVER () AS hi, target / sum(target) OVER () AS share FROM t),
+n AS (SELECT (3 * sum(size)::BIGINT + {2 * BLOCK - 1}) // {2 * BLOCK} + {CHUNK} AS slots FROM d),
+point AS (SELECT i AS slot, ((i % {RANGE}) * {GOLDEN} % {RANGE}) / {RANGE}::DOUBLE AS u FROM (SELECT unnest(range((SELECT slots::BIGINT FROM n))) AS i)),
+hit AS (
+  SELECT slot, source, need, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k
+  FROM point JOIN span ON u < least(hi, 1) AND u >= greatest(hi - share, 0)),
+got AS (SELECT s.source, s.need, count(h.slot) AS found FROM span s LEFT JOIN hit h ON s.source IS NOT DISTINCT FROM h.source GROUP BY ALL),
+slot AS (
+  SELECT source, k, slot FROM hit WHERE k < need
+  UNION ALL SELECT source, k, (SELECT slots FROM n) + k FROM (SELECT source, unnest(range(found, need)) AS k FROM got)),
+ends AS (
+  SELECT o.*, floor(target)::BIGINT AS goal, CASE WHEN size > 0 AND pos < floor(target) THEN pos // {BLOCK} END AS a,
+    CASE WHEN size > 0 AND pos + source_size < floor(target) THEN (least(pos + source_size + size, floor(target)::BIGINT) - 1) // {BLOCK}
+      WHEN size > 0 AND pos < floor(target) THEN (least(pos + size, floor(target)::BIGINT) - 1) // {BLOCK} END AS b
+  FROM o)
 SELECT doc_id, size, source_size, target,
-  (greatest(least(floor(target)::BIGINT - pos, size), 0)
-   + greatest(least(floor(target)::BIGINT - pos - source_size, size), 0))::BIGINT AS taken
-FROM o"""
+  (greatest(least(goal - pos, size), 0) + greatest(least(goal - pos - source_size, size), 0))::BIGINT AS taken,
+  f.slot::BIGINT AS first_slot, l.slot::BIGINT AS last_slot
+FROM ends
+LEFT JOIN slot f ON f.k = a AND f.source IS NOT DISTINCT FROM ends.source
+LEFT JOIN slot l ON l.k = b AND l.source IS NOT DISTINCT FROM ends.source"""

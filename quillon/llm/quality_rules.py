@@ -136,9 +136,10 @@ def learn_from(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = least_hashed(known, max_labelled, F.col("doc_id"))  # at most max_labelled pairs of numbers are broadcast
     stats = text_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    found = stats.select("doc_id", "quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).collect()
-    found = sorted(found, key=lambda r: (r[0] * 2654435761 % 4294967296, tuple(r)))
-    return learn_list([([float(v) for v in r[2:]], int(r[1])) for r in found[: 2 * max_labelled]])
+    numbers = stats.select(F.md5(F.col("doc_id").cast("string")).alias("_h"), "quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()])
+    # ids may be repeated, so that rows are bounded as well; equal rows are alike
+    found = numbers.orderBy("_h", *FEATURES).limit(max_labelled).collect()
+    return learn_list([([float(v) for v in r[2:]], int(r[1])) for r in found])
 
 
 def apply_list(df: DataFrame, rules: list[list[tuple[int, str, float]]]) -> DataFrame:

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op3_source_mix": mixing.op3_sql(),
     "op5_decontamination": decontamination.OP5_SQL,
+    "op6_blob_ledger": secret_scan.op6_sql(),
     "op8_feistel_sharding": sharding.op8_sql(),
 }

@@ -1,11 +1,12 @@
 """Secret scans over an incremental ledger of blobs.
 
 A text is a blob, addressed by its SHA-256; a path (document, or document and
-version) points to one. The ledger holds the pairs of blob and rule version
-that have been scanned, with the findings. A scan takes the distinct blobs, of
-each only the rules it has not yet met, and joins the findings back to all
-paths. Exact copies, however many, are therefore scanned once, and a new rule
-version touches old blobs with that rule only.
+version) points to one. The ledger is a folder with a row for each blob and round: the rule
+versions that it was scanned with then, and their findings. A round takes the distinct blobs, of
+each only the rules it has not yet met, appends to the ledger, and joins the ledger's findings
+of the current rules back to all paths. Exact copies, however many, are therefore scanned
+once, and a new rule version touches old blobs with that rule only. Paths of blobs with very many
+of them are spread over several copies of the blob's findings.
 
 Positions come from built-in functions: a regular expression cuts a text into
 the matches and what lies between; running sums over their lengths, in a window
@@ -18,12 +19,13 @@ columns of the paths are kept.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import read_table
+from quillon.llm.common import materialise, read_table, shared_dir
 
 
 @dataclass(frozen=True)
@@ -51,7 +53,9 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
     Rule("hosted", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
-FINDINGS = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>"
+FINDINGS = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint,rule:string>>"
+#: Paths of one blob that are joined in one place, at least; blobs with more may be this many at most.
+CROWD, CROWDS = 1000, 100_000
 
 
 def addressed(paths: DataFrame) -> DataFrame:
@@ -61,13 +65,18 @@ def addressed(paths: DataFrame) -> DataFrame:
 
 def unseen_blobs(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, text, todo): the distinct blobs that some rule has not scanned, and those rules."""
-    every = F.array(*[F.lit(r.name) for r in rules])
     blobs = addressed(paths.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))).select("blob", "text").dropDuplicates(["blob"])
+    return left_to_do(blobs, ledger, rules)
+
+
+def left_to_do(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """Of some different blobs: those that some rule has not scanned, with these rules as ``todo``."""
+    every = F.array(*[F.lit(r.name) for r in rules])
     if ledger is None:
         return blobs.withColumn("todo", every)
-    seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
+    seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("_seen"))  # a row for each round
     left = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("_seen", F.array().cast("array<string>"))))
-    return left.filter(F.size("todo") > 0).select("blob", "text", "todo")
+    return left.filter(F.size("todo") > 0).drop("_seen")
 
 
 def _measured(kind_no: int, least: int):
@@ -103,27 +112,72 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return placed.select("blob", F.get(names, "kind_no").alias("rule"), F.get(kinds, "kind_no").alias("kind"), "kind_no", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
-def extended_ledger(blobs: DataFrame, findings: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """(blob, rule, findings): the ledger after a scan; a pair without findings is kept with none."""
-    pairs = blobs.select("blob", F.explode("todo").alias("rule"))
-    got = findings.groupBy("blob", "rule").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("findings"))
-    new = pairs.join(got, ["blob", "rule"], "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
-    return new if ledger is None else ledger.select("blob", "rule", "findings").unionByName(new)
+def ledger_rows(blobs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(blob, rules, findings): a round's rows, also for blobs without findings; from (blob, todo) and (blob, rule, ...)."""
+    got = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end", "rule"))).alias("findings"))
+    rows = blobs.select("blob", F.col("todo").alias("rules")).join(got, "blob", "left")
+    return rows.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+
+
+def ledger_in(spark: SparkSession, folder: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(f"blob string, rules array<string>, findings {FINDINGS}").parquet(folder) if there else None
 
 
-def by_path(paths: DataFrame, findings: DataFrame) -> DataFrame:
-    """Adds ``findings``, sorted, to the paths (..., blob); one row for each path."""
-    per_blob = findings.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("findings"))
-    return paths.join(per_blob, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+def by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds ``findings`` of the rules, sorted, to the paths (..., blob); one row for each path."""
+    names = F.array(*[F.lit(r.name) for r in rules])
+    found = ledger.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+    found = found.withColumn("findings", F.sort_array(F.filter("findings", lambda x: F.array_contains(names, x["rule"])))).filter(F.size("findings") > 0)
+    n = paths.count()
+    crowd = max(CROWD, n // CROWDS)
+    crowded = paths.groupBy("blob").count().filter(F.col("count") > crowd).select("blob", F.ceil(F.col("count") / crowd).alias("_parts"))  # at most CROWDS
+    crowded = F.broadcast(materialise(crowded, "crowded"))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    dealt = paths.join(crowded, "blob", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), parts)).drop("_parts")
+    copied = found.join(crowded, "blob", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copied, ["blob", "_part"], "left").drop("_part").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+
+
+def scan_round(paths: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The paths (..., text) without their texts, with blob and findings; the ledger in ``folder`` is extended by what it lacks."""
+    spark = paths.sparkSession
+    listed = materialise(addressed(paths).drop("text"), "paths")
+    ledger = ledger_in(spark, folder)
+    todo = left_to_do(listed.select("blob").distinct(), ledger, rules)
+    ledger_rows(todo, scan(unseen_blobs(paths, ledger, rules), rules)).write.mode("append").parquet(folder)
+    return by_path(listed, ledger_in(spark, folder), rules)
 
 
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first round over ``documents``, with a ledger of its own."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(unseen_blobs(docs))
-    paths = by_path(addressed(docs).drop("text"), found)
+    paths = scan_round(docs, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     joined = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
     base = "filter(findings, x -> x.kind_no < 3)"
     counts = {f"n_{r.kind}": F.expr(f"cast(size(filter(findings, x -> x.kind_no = {i})) as bigint)") for i, r in enumerate(RULES[:3])}
     return paths.withColumns(counts | {"base_sha256": F.sha2(F.expr(joined.format(base)), 256), "spans": F.expr(joined.format("findings"))}).select(
         "doc_id", *counts, "base_sha256", "spans"
     )
+
+
+def op6_sql() -> str:
+    """DuckDB SQL for the same rows: matches are placed by the lengths of what a split leaves between them."""
+    parts, lists = [], []
+    for i, r in enumerate(RULES):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"regexp_extract_all(t, {pattern}) AS m{i}, regexp_extract_all(t, {pattern}, {r.group}) AS g{i}, string_split_regex(t, {pattern}) AS s{i}")
+        before = f"(list_sum(list_transform(s{i}[:j], lambda x: len(x))) + coalesce(list_sum(list_transform(m{i}[:j - 1], lambda x: len(x))), 0))::BIGINT"
+        lists.append(
+            f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda j: len(g{i}[j]) >= {r.least}),"
+            f" lambda j: {{'start': {before}, 'no': {i}, 'mark': '{r.kind}:' || {before} || ':' || ({before} + len(m{i}[j]))}})"
+        )
+    mark = "array_to_string(list_transform({}, lambda x: x.mark), ',')"
+    count = "len(list_filter(f, lambda x: x.no = {}))::BIGINT"
+    return (
+        f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {', '.join(parts)} FROM d), "
+        f"f AS (SELECT doc_id, list_sort(flatten([{', '.join(lists)}])) AS f FROM m) "
+        f"SELECT doc_id, {count.format(0)} AS n_assign, {count.format(1)} AS n_access, {count.format(2)} AS n_hex, "
+        f"sha256(coalesce({mark.format('list_filter(f, lambda x: x.no < 3)')}, '')) AS base_sha256, coalesce({mark.format('f')}, '') AS spans FROM f"
+    )

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillon.llm.common import fold, least_hashed, materialise, read_table, text_key
 from quillon.llm.shingles import mixed, slices, word_spans
@@ -242,8 +243,8 @@ class Toxicity:
     def score(self, df: DataFrame) -> DataFrame:
         """Replaces ``text`` by ``score``; the other columns stay."""
         others = [f for f in df.drop("score").schema.fields if f.name != "text"]
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-        return df.drop("score").mapInArrow(_scorer(self.model, self.weights), f"{kind}, score double")
+        kind = StructType([*others, StructField("score", DoubleType())])
+        return df.drop("score").mapInArrow(_scorer(self.model, self.weights), kind)
 
 
 CLASSES = ("toxic", "ordinary")

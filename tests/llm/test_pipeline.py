@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from quillon.llm import toxicity
@@ -98,5 +99,21 @@ def test_shards_are_even(stages):
     assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in rows["sharding"])
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns of any names are kept as they are."""
+    path = fixtures.documents(spark, tmp_path / "odd")
+    names = ["_text", "_id", "_key", "_copy", "score", "copies", "rows", "text_key", "doc", "with space.dot"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").select(*COLUMNS)
+    for n in names:
+        docs = docs.withColumn(n, F.lit("kept"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, path)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == "kept" for r in rows for n in names), name
+
+
 def test_empty(spark, tmp_path):
     assert pipeline.run(spark, fixtures.empty(spark, tmp_path)).count() == 0
