@@ -71,12 +71,12 @@ def unique_ratio(text: Column) -> Column:
 def shingles(text: Column, query_words: Column, size: int = 3) -> Column:
     """Stretches of ``size`` words that hold a query word as part of one of their words."""
     words = blank_words(F.lower(text))
-    n = F.size(words)
-    spans = F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.slice(words, i, size))).otherwise(
-        F.array().cast("array<array<string>>")
-    )
-    hit = F.filter(spans, lambda s: F.exists(s, lambda w: F.exists(query_words, lambda q: F.contains(w, q))))
-    return F.transform(hit, lambda s: F.array_join(s, " "))
+    # words beside those that follow: a lambda that refers to an array outside of it makes that anew for each element
+    places = [f"w{k}" for k in range(size)]
+    zipped = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(p) for k, p in enumerate(places)])
+    holds = lambda w: F.exists(query_words, lambda q: F.contains(w, q))
+    hit = F.filter(zipped, lambda s: s[places[-1]].isNotNull() & reduce(lambda a, b: a | b, [holds(s[p]) for p in places]))
+    return F.transform(hit, lambda s: F.concat_ws(" ", *[s[p] for p in places]))
 
 
 def normalised_query(text: Column) -> Column:

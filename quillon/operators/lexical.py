@@ -20,6 +20,11 @@ def sized_broadcast(df: DataFrame, most: int = MAX_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def as_many(df: DataFrame, as_: DataFrame, most: int = MAX_TERMS) -> DataFrame:
+    """``df``, which has no more rows than ``as_``, with a broadcast hint if that has ``most`` at most: no term's postings meet in one task."""
+    return F.broadcast(df) if as_.limit(most + 1).count() <= most else df
+
+
 def query_terms(queries: DataFrame, tokens=bm25_tokens) -> DataFrame:
     """(query_id, term, qtf): a term counts as often as the query has it."""
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -49,7 +54,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = terms.join(df, "term").join(F.broadcast(stats)).withColumn("idf", idf)  # stats: one row
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return found.join(weights, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
+    return found.join(as_many(weights, terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
 
 
 def minmax(scores: DataFrame, docs: DataFrame) -> DataFrame:
@@ -57,12 +62,14 @@ def minmax(scores: DataFrame, docs: DataFrame) -> DataFrame:
 
     If all are equal every one is 1.
     """
-    each = Window.partitionBy("query_id")
     n = docs.agg(F.count("*").alias("_n"))
-    low = F.when(F.count("*").over(each) < F.col("_n"), F.least(F.lit(0.0), F.min("score").over(each))).otherwise(F.min("score").over(each))
-    ranged = scores.join(F.broadcast(n)).withColumns({"_low": low, "_high": F.max("score").over(each)})
+    ranges = scores.groupBy("query_id").agg(F.min("score").alias("_least"), F.max("score").alias("_high"), F.count("*").alias("_found"))
+    low = F.when(F.col("_found") < F.col("_n"), F.least(F.lit(0.0), F.col("_least"))).otherwise(F.col("_least"))
+    ranged = scores.join(ranges.join(F.broadcast(n)).withColumn("_low", low), "query_id")  # a row for each query
     span = F.col("_high") - F.col("_low")
-    return ranged.withColumn("norm", F.when(span == 0, 1.0).otherwise((F.col("score") - F.col("_low")) / F.nullif(span, F.lit(0.0)))).drop("_n", "_low", "_high")
+    return ranged.withColumn("norm", F.when(span == 0, 1.0).otherwise((F.col("score") - F.col("_low")) / F.nullif(span, F.lit(0.0)))).drop(
+        "_n", "_low", "_high", "_least", "_found"
+    )
 
 
 def top_k(scores: DataFrame, k: int, by: str = "score", key: str = "query_id", tie: str = "id") -> DataFrame:
@@ -82,9 +89,9 @@ def tfidf(docs: DataFrame, queries: DataFrame, constant_df: bool = False, corpus
     n = docs.agg(F.count("*").alias("n")) if corpus_size is None else docs.sparkSession.range(1).select(F.lit(corpus_size).cast("long").alias("n"))
     df = found.groupBy("term").agg((F.lit(1) if constant_df else F.count("*")).cast("long").alias("df"))
     weights = terms.join(df, "term").join(F.broadcast(n)).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
-    scores = found.join(weights, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score"))
-    most = F.max("score").over(Window.partitionBy("query_id"))
-    return scores.withColumn("norm", F.col("score") / F.greatest(most, F.lit(1.0)))
+    scores = found.join(as_many(weights, terms), "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")).alias("score"))
+    most = scores.groupBy("query_id").agg(F.greatest(F.max("score"), F.lit(1.0)).alias("_most"))
+    return scores.join(most, "query_id").withColumn("norm", F.col("score") / F.col("_most")).drop("_most")
 
 
 def field_weight(words: Column, name: Column, category: Column, text: Column) -> Column:

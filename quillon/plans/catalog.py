@@ -119,19 +119,9 @@ def left_join_default(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' ORDER BY l_extendedprice DESC, l_linenumber), '') AS lines FROM orders LEFT JOIN (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) l ON l_orderkey = o_orderkey AND n <= 3 WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey""")
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem) l ON l_orderkey = o_orderkey AND n <= 3 GROUP BY o_orderkey""")
 def top3_per_parent(spark, sf_dir):
-    """Of every tenth order, as the SQL states it; ``top3_per_parent_all`` takes all."""
-    return first_lines(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"))
-
-
-@query()
-def top3_per_parent_all(spark, sf_dir):
-    return first_lines(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
-def first_lines(spark, sf_dir, orders):
-    orders = orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     found = ct.first_children(orders, lines, "l_orderkey", [F.desc("l_extendedprice"), "l_linenumber"], 3, ["l_linenumber", "l_partkey"])
     said = F.transform("children", lambda c: F.concat_ws(":", c["l_linenumber"].cast("string"), c["l_partkey"].cast("string")))

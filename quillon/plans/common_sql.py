@@ -2,8 +2,8 @@
 
 TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[^\w\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 2)"
 SPARSE = r"list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ('the', 'and', 'for', 'with', 'from'))"
-#: A batch of queries: the first words of the benchmark's items.
-QUERIES = r"SELECT item_id AS query_id, array_to_string(regexp_split_to_array(text, '\s+')[1:5], ' ') AS text FROM benchmark"
+#: A batch of queries: the benchmark's items.
+QUERIES = "SELECT item_id AS query_id, text FROM benchmark"
 
 
 def tokens(column: str) -> str:
@@ -28,5 +28,3 @@ m AS (SELECT *, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo)
   SELECT *, max(score) OVER (PARTITION BY query_id) AS hi,
     CASE WHEN count(*) OVER (PARTITION BY query_id) < n THEN least(0, min(score) OVER (PARTITION BY query_id)) ELSE min(score) OVER (PARTITION BY query_id) END AS lo
   FROM s, (SELECT n FROM st)))"""
-
-BATCH_WORDS = 5

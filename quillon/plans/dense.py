@@ -26,33 +26,17 @@ def knn_cosine(spark, sf_dir):
     return dn.knn(v, v.withColumnRenamed("id", "query_id"), 10)
 
 
-@query(f"WITH {PAIRS.format('round(1 / (1 + list_distance(a.v, b.v)), 9)', 'AND a.vec_id < 20')} SELECT query_id, id, score, rank FROM r WHERE rank <= 5")
+@query(f"WITH {PAIRS.format('round(1 / (1 + list_distance(a.v, b.v)), 9)', '')} SELECT query_id, id, score, rank FROM r WHERE rank <= 5")
 def knn_l2_score(spark, sf_dir):
-    """For the first vectors, as the SQL states it; queries that end in ``_all`` ask for every vector."""
-    v = vectors(spark, sf_dir)
-    return dn.knn(v, v.filter("id < 20").withColumnRenamed("id", "query_id"), 5, "l2")
-
-
-@query()
-def knn_l2_score_all(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return dn.knn(v, v.withColumnRenamed("id", "query_id"), 5, "l2")
 
 
-@query(f"WITH {PAIRS.format(COSINE, 'AND a.vec_id < 50')} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1 AND lb IN (1, 2, 3)) WHERE rank <= 10")
+@query(f"WITH {PAIRS.format(COSINE, '')} SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.1 AND lb IN (1, 2, 3)) WHERE rank <= 10")
 def vector_search_filtered(spark, sf_dir):
     """Categories are filtered before similarities are made, the threshold after."""
-    return filtered_search(spark, sf_dir, vectors(spark, sf_dir).filter("id < 50"))
-
-
-@query()
-def vector_search_filtered_all(spark, sf_dir):
-    return filtered_search(spark, sf_dir, vectors(spark, sf_dir))
-
-
-def filtered_search(spark, sf_dir, asked):
     chosen = table(spark, sf_dir, "embeddings").filter(F.col("label").isin(1, 2, 3)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return dn.knn(chosen, asked.withColumnRenamed("id", "query_id"), 10, least=0.1)
+    return dn.knn(chosen, vectors(spark, sf_dir).withColumnRenamed("id", "query_id"), 10, least=0.1)
 
 
 @query(f"WITH {PAIRS.format(COSINE, 'AND a.vec_id = 7')} SELECT id, score, rank FROM r WHERE rank <= 5")

@@ -1,9 +1,7 @@
-"""Queries of lexical retrieval over documents, for a batch of queries from the benchmark's first words."""
+"""Queries of lexical retrieval over documents, for a batch of queries: the benchmark's texts."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +13,6 @@ from quillon.plans.register import query, table
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, text)."""
-    words = F.slice(F.split("text", r"\s+", -1), 1, sql.BATCH_WORDS)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
-
-
-def whole_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, text): whole texts, for the queries that end in ``_all``."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
@@ -30,15 +22,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {sql.BM25} SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10")
-def bm25_top10(spark, sf_dir, asked=batch):
-    scores = lx.bm25(corpus(spark, sf_dir), asked(spark, sf_dir))
+def bm25_top10(spark, sf_dir):
+    scores = lx.bm25(corpus(spark, sf_dir), batch(spark, sf_dir))
     return lx.top_k(scores.withColumn("score", F.round("score", 9)), 10)
 
 
 @query(f"WITH {sql.BM25} SELECT query_id, id, round(score, 9) AS score, round(norm, 9) AS norm FROM m")
-def bm25_minmax(spark, sf_dir, asked=batch):
+def bm25_minmax(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    scores = lx.minmax(lx.bm25(docs, asked(spark, sf_dir)), docs)
+    scores = lx.minmax(lx.bm25(docs, batch(spark, sf_dir)), docs)
     return scores.select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
 
 
@@ -48,9 +40,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(confiden
 SELECT query_id, id, source, round(confidence, 9) AS confidence, rank FROM r WHERE rank <= 10"""
 
 
-def keyword_search(spark, sf_dir, least: float, categories: list[str] | None, asked=batch) -> DataFrame:
+def keyword_search(spark, sf_dir, least: float, categories: list[str] | None) -> DataFrame:
     docs = corpus(spark, sf_dir)
-    scores = lx.minmax(lx.bm25(docs, asked(spark, sf_dir)), docs)
+    scores = lx.minmax(lx.bm25(docs, batch(spark, sf_dir)), docs)
     found = scores.withColumn("confidence", F.round(F.least(F.greatest(F.col("norm"), F.lit(0.0)), F.lit(0.99)), 9)).filter(F.col("confidence") >= least)
     found = found.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     if categories:
@@ -59,14 +51,14 @@ def keyword_search(spark, sf_dir, least: float, categories: list[str] | None, as
 
 
 @query(KEYWORD_SQL.format("0.05", "AND source IN ('src0', 'src1', 'src2')"))
-def keyword_search_filtered(spark, sf_dir, asked=batch):
+def keyword_search_filtered(spark, sf_dir):
     """Scores are scaled over the whole corpus before the filter by category."""
-    return keyword_search(spark, sf_dir, 0.05, ["src0", "src1", "src2"], asked)
+    return keyword_search(spark, sf_dir, 0.05, ["src0", "src1", "src2"])
 
 
 @query(KEYWORD_SQL.format("0.01", ""))
-def broad_search(spark, sf_dir, asked=batch):
-    return keyword_search(spark, sf_dir, 0.01, None, asked)
+def broad_search(spark, sf_dir):
+    return keyword_search(spark, sf_dir, 0.01, None)
 
 
 @query(f"""WITH {sql.BM25},
@@ -77,8 +69,8 @@ x AS (SELECT query_id, id, list_filter(flatten(list_transform(w, lambda v: [
   CASE WHEN contains(name, v) THEN 'Name contains "' || v || '"' END, CASE WHEN contains(body, v) THEN 'Description mentions "' || v || '"' END,
   CASE WHEN contains(cat, v) THEN 'Category matches "' || v || '"' END])), lambda s: s IS NOT NULL) AS r FROM w)
 SELECT query_id, id, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'Keyword match' END AS reasons FROM x""")
-def bm25_reasons(spark, sf_dir, asked=batch):
-    docs, queries = corpus(spark, sf_dir), asked(spark, sf_dir)
+def bm25_reasons(spark, sf_dir):
+    docs, queries = corpus(spark, sf_dir), batch(spark, sf_dir)
     top = lx.top_k(lx.minmax(lx.bm25(docs, queries), docs).withColumn("norm", F.round("norm", 9)), 3, "norm")
     full = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("name"), F.col("text").alias("body"), "source")
     joined = top.select("query_id", "id").join(queries, "query_id").join(full, "id")
@@ -95,14 +87,14 @@ SELECT query_id, id, round(score, 9) AS score, round(score / greatest(max(score)
 
 
 @query(TFIDF_SQL.format("count(*)"))
-def tfidf_true_df(spark, sf_dir, asked=batch):
-    return lx.tfidf(corpus(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
+def tfidf_true_df(spark, sf_dir):
+    return lx.tfidf(corpus(spark, sf_dir), batch(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
 
 
 @query(TFIDF_SQL.format("1"))
-def sparse_reference(spark, sf_dir, asked=batch):
+def sparse_reference(spark, sf_dir):
     """The variant whose document frequency is counted within one document."""
-    return lx.tfidf(corpus(spark, sf_dir), asked(spark, sf_dir), constant_df=True).select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
+    return lx.tfidf(corpus(spark, sf_dir), batch(spark, sf_dir), constant_df=True).select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
 
 
 @query("""WITH w AS (SELECT unnest(['brown', 'steel', 'small', 'polished']) AS w),
@@ -130,23 +122,9 @@ def corpus_statistics(spark, sf_dir):
     return lx.corpus_stats(docs).select(F.col("n").alias("n_docs"), F.round("avgdl", 9).alias("avg_len")).join(F.broadcast(words))
 
 
-@query(r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 0) AS w FROM documents WHERE length(text) < 2000),
+@query(r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 0) AS w FROM documents),
 s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS s FROM d)
 SELECT DISTINCT array_to_string(s, ' ') AS suggestion FROM s WHERE len(list_filter(s, lambda x: contains(x, 'the') OR contains(x, 'der'))) > 0""")
 def shingle_suggestions(spark, sf_dir):
-    """Of documents under 2,000 characters, as the SQL states it; ``shingle_suggestions_all`` takes every text whole."""
-    return suggestions(table(spark, sf_dir, "documents").filter(F.length("text") < 2000))
-
-
-@query()
-def shingle_suggestions_all(spark, sf_dir):
-    return suggestions(table(spark, sf_dir, "documents"))
-
-
-def suggestions(docs: DataFrame) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.explode(shingles(F.col("text"), strings(["the", "der"]))).alias("suggestion")).distinct()
-
-
-# the SQL's queries are the first words of the benchmark's texts; these search the whole texts
-for _f in (bm25_top10, bm25_minmax, bm25_reasons, keyword_search_filtered, broad_search, tfidf_true_df, sparse_reference):
-    query(name=f"{_f.__name__}_all")(partial(_f, asked=whole_batch))
