@@ -50,7 +50,7 @@ STEMS, TOXIC = (6, 4), 0.002
 #: What stands before a text's first word.
 START = " "
 #: Entries of a worker's tables before they are written out or emptied; bytes of texts in a step.
-FLUSH, SLICE = 400_000, 4 << 20
+FLUSH, SLICE = 200_000, 1 << 20
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _FIRST = np.uint64(0x5DEECE66D)
 
@@ -160,7 +160,7 @@ class Memo(dict):
 
     def ratios(self, model: Model, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, buf: np.ndarray) -> np.ndarray:
         """The ratio of each word after the one before it; ``hashes`` has ``_FIRST`` at each text's start, whose value is none."""
-        if len(self) > 2 * FLUSH:
+        if len(self) > FLUSH:
             self.clear()
         keys, first, at = np.unique(hashes, return_index=True, return_inverse=True)
         listed = keys.tolist()
@@ -220,16 +220,18 @@ def _scorer(model, weights: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, memo = model.value if model is not None else None, Memo()
-        for batch in batches:
-            texts = [bare(t.as_py()) for t in batch["text"]]
-            parts = [differences(tables, texts[a:b], memo) if tables else (np.zeros(b - a), np.zeros(b - a)) for a, b in slices(texts, SLICE)]
-            x = features(*(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1)))
-            if weights is None:
-                added = {"by_word": x[:, 0], "length": x[:, 1]}
-            else:
-                added = {"score": 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -60, 60)))}
-            keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(v, pa.float64()) for v in added.values())], names=[*keep, *added])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                texts = [bare(t.as_py()) for t in batch["text"]]
+                parts = [differences(tables, texts[a:b], memo) if tables else (np.zeros(b - a), np.zeros(b - a)) for a, b in slices(texts, SLICE)]
+                x = features(*(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1)))
+                if weights is None:
+                    added = {"by_word": x[:, 0], "length": x[:, 1]}
+                else:
+                    added = {"score": 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -60, 60)))}
+                keep = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(v, pa.float64()) for v in added.values())], names=[*keep, *added])
 
     return run
 
@@ -302,7 +304,9 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     nothing = Toxicity(None, np.array([-60.0, 0.0, 0.0]))
     if not model.known:
         return nothing
-    rest = sample.filter(apart).select("toxic", "text").mapInArrow(_scorer(spark.sparkContext.broadcast(model), None), "toxic int, by_word double, length double").toArrow()
+    first = spark.sparkContext.broadcast(model)
+    rest = sample.filter(apart).select("toxic", "text").mapInArrow(_scorer(first, None), "toxic int, by_word double, length double").toArrow()
+    first.destroy()
     y, x = np.array(rest["toxic"].to_pylist(), float), np.column_stack([rest["by_word"].to_numpy(), rest["length"].to_numpy()])
     if not 0 < y.sum() < len(y):
         return nothing
