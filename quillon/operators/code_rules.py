@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What tells a design pattern in code, keywords first, then expressions in their order.
+# What tells a design pattern in code (keywords, then expressions in their order), what tells a method, families, and reasons for suggestions.
 INDICATORS: dict[str, tuple[list[str], list[str]]] = {
     "Singleton": (
         ["getInstance", "instance", "private constructor", "_instance", "singleton"],
@@ -32,35 +32,78 @@ INDICATORS: dict[str, tuple[list[str], list[str]]] = {
     "Template Method": (["template", "abstract", "hook", "algorithm"], [r"abstract\s+\w+\s*\(", r"protected\s+abstract", r"final\s+\w+\s*\("]),
 }
 METHODS = r"function\s+\w+|[\w]+\s*\([^)]*\)\s*\{"
+CATEGORIES = {
+    "Creational": ["Singleton", "Factory Method", "Abstract Factory", "Builder", "Prototype"],
+    "Structural": ["Adapter", "Bridge", "Composite", "Decorator", "Facade", "Flyweight", "Proxy"],
+    "Behavioral": ["Chain of Responsibility", "Command", "Iterator", "Mediator", "Memento", "Observer", "State", "Strategy", "Template Method", "Visitor"],
+}
+REASONS = {
+    "Singleton": ("Consider Singleton pattern for managing global state", 0.6),
+    "Factory Method": ("Multiple object instantiations detected - consider Factory pattern", 0.7),
+    "Observer": ("Event handling code detected - Observer pattern could improve decoupling", 0.6),
+    "Strategy": ("Complex conditional logic detected - Strategy pattern could simplify", 0.5),
+    "Builder": ("Complex constructor detected - Builder pattern could improve readability", 0.7),
+}
 
 
-def design_patterns(code: DataFrame) -> DataFrame:
-    """(id, pattern, step, confidence): a row for every expression that matches once the confidence, 0.2 a keyword and 0.3 an expression so far, is over 0.4."""
-    low, found = F.lower("code"), []
-    for name, (keywords, patterns) in INDICATORS.items():
-        base = sum((F.contains(low, F.lit(k.lower())).cast("int") for k in keywords), F.lit(0))
+def category(name: Column) -> Column:
+    """The family of a design pattern, else Unknown."""
+    out = F.lit("Unknown")
+    for family, members in CATEGORIES.items():
+        out = F.when(name.isin(*members), family).otherwise(out)
+    return out
+
+
+def detected(code: DataFrame, only=tuple(INDICATORS)) -> DataFrame:
+    """Adds ``found`` to (id, code), an array of (pattern, step, confidence): an entry for every expression that matches once the confidence, 0.2 a keyword and 0.3 an expression so far, is over 0.4.
+
+    Keywords and expressions are tried once a text, before their counts are combined.
+    """
+    count = lambda tests: sum((t.cast("int") for t in tests), F.lit(0))
+    tried = {n: F.struct(count(F.contains("_low", F.lit(k.lower())) for k in INDICATORS[n][0]).alias("keywords"), F.array(*[F.col("code").rlike(f"(?i){p}") for p in INDICATORS[n][1]]).alias("hits")) for n in only}
+    out = code.select("id", "code", F.lower("code").alias("_low")).select("id", "code", F.struct(*[t.alias(n) for n, t in tried.items()]).alias("_tried"))
+    found = []
+    for name in only:
         seen = F.lit(0)
-        for step, p in enumerate(patterns, 1):
-            hit = F.col("code").rlike(f"(?i){p}")
+        for step in range(1, len(INDICATORS[name][1]) + 1):
+            hit = F.get(F.col("_tried")[name]["hits"], F.lit(step - 1))
             seen = seen + hit.cast("int")
-            confidence = F.round(base * 0.2 + seen * 0.3, 9)
+            confidence = F.round(F.col("_tried")[name]["keywords"] * 0.2 + seen * 0.3, 9)
             found.append(F.when(hit & (confidence > 0.4), F.struct(F.lit(name).alias("pattern"), F.lit(step).alias("step"), F.least(confidence, F.lit(1.0)).alias("confidence"))))
-    return code.select("id", F.explode(F.array_compact(F.array(*found))).alias("d")).select("id", "d.*")
+    return out.withColumn("found", F.array_compact(F.array(*found))).drop("_tried")
+
+
+def _each(rows: DataFrame, array: str, *keep: str) -> DataFrame:
+    """A row for each struct of the array; the outer explode keeps the optimizer from making the array once more to look for empty ones."""
+    return rows.select(*keep, F.explode_outer(array).alias("_x")).filter("_x IS NOT NULL").select(*keep, "_x.*")
+
+
+def design_patterns(code: DataFrame) -> DataFrame:
+    """(id, pattern, category, step, confidence, line, snippet) of (id, code): the detections, each with the line, from 1 on, where its expression matches first."""
+    expressions = F.create_map(*[c for name, (_, patterns) in INDICATORS.items() for c in (F.lit(name), F.array(*[F.lit(f"(?i){p}") for p in patterns]))])
+    rows = _each(detected(code), "found", "id", "code")
+    at = F.regexp_instr("code", F.element_at(F.element_at(expressions, F.col("pattern")), F.col("step")))
+    rows = rows.withColumn("line", F.size(F.split(F.substring("code", F.lit(1), at - 1), "\n", -1)))
+    snippet = F.regexp_replace(F.element_at(F.split("code", "\n", -1), F.col("line")), r"^\s+|\s+$", "")
+    return rows.select("id", "pattern", category(F.col("pattern")).alias("category"), "step", "confidence", "line", snippet.alias("snippet"))
 
 
 def suggestions(code: DataFrame) -> DataFrame:
-    """(id, suggestion): patterns that a text's counts speak for."""
+    """(id, suggestion, reason, confidence): patterns that a text's counts speak for and that are not detected in it."""
     c = F.col("code")
     tests = {
         "Singleton": c.rlike(r"(?i)global|static|instance"), "Factory Method": F.regexp_count(c, F.lit(r"new\s+\w+\(")) > 3,
         "Observer": c.rlike(r"(?i)event|listener|callback|subscribe"),
         "Strategy": (F.regexp_count(c, F.lit(r"if\s*\(")) > 5) | (F.regexp_count(c, F.lit(r"switch\s*\(")) > 0), "Builder": c.rlike(r"(?i)constructor\s*\([^)]{50,}\)"),
     }
-    return code.select("id", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))).alias("suggestion"))
+    said = lambda n: F.struct(F.lit(n).alias("suggestion"), F.lit(REASONS[n][0]).alias("reason"), F.lit(REASONS[n][1]).alias("confidence"))
+    new = lambda n: ~F.exists("found", lambda d: d["pattern"] == n)
+    found = F.array(*[F.when(t & new(n), said(n)) for n, t in tests.items()])
+    return _each(detected(code, tuple(tests)).withColumn("said", F.array_compact(found)), "said", "id")
 
 
 def improvements(code: DataFrame) -> DataFrame:
-    """(id, improvement)."""
+    """(id, improvement); those that a detected pattern calls for come once a detection."""
     c = F.col("code")
     lines = F.size(F.split(c, "\n", -1))
     methods = F.regexp_count(c, F.lit(METHODS))
@@ -68,7 +111,10 @@ def improvements(code: DataFrame) -> DataFrame:
         "error handling": ~c.rlike(r"(?i)try\s*\{|catch\s*\(|\.catch\s*\("), "comments": F.regexp_count(c, F.lit(r"//|/\*|\*")) < lines * 0.1,
         "long methods": (methods > 0) & (lines / F.nullif(methods, F.lit(0)) > 50), "hardcoded values": c.rlike(r"""["']\d+["']|["']\w+@\w+\.\w+["']"""),
     }
-    return code.select("id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()]))).alias("improvement"))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()]))
+    unsafe = F.transform(F.filter("found", lambda d: (d["pattern"] == "Singleton") & (d["confidence"] < 0.8)), lambda d: F.lit("thread safety"))
+    uncleared = F.transform(F.filter("found", lambda d: (d["pattern"] == "Observer") & ~c.rlike(r"(?i)unsubscribe|removeListener")), lambda d: F.lit("unsubscribe"))
+    return detected(code, ("Singleton", "Observer")).select("id", F.explode(F.concat(found, unsafe, uncleared)).alias("improvement"))
 
 
 def nesting(code: Column) -> Column:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Pairs that conflict (with severity), go together, repeat each other, and what must come before.
+# Pairs that conflict (with severity), go together, repeat each other, what must come before,
+# costs, misuses by a word of the description, and what to do.
 CONFLICTS = {("Singleton", "Prototype"): "high"}
 CLASHES = [("Singleton", "Prototype"), ("Flyweight", "Singleton")]
 SYNERGIES = [("Factory Method", "Abstract Factory"), ("Observer", "Mediator"), ("Adapter", "Decorator")]
 REDUNDANT = [("Factory Method", "Abstract Factory"), ("Adapter", "Decorator")]
 BEFORE = {"Abstract Factory": ["Factory Method"], "Decorator": ["Component"], "Composite": ["Component"]}
 COSTS = {"high": 20, "medium": 10, "low": 5}
+MISUSES = {"Singleton": ("testing", "Singleton in Tests", "medium", "Use dependency injection instead"), "Observer": ("performance", "Observer Performance Issue", "low", "Consider event batching or filtering")}
+FIXES = {"overload": "Reduce to 3-5 essential patterns", "conflict": "Choose one or refactor to avoid conflict", "redundancy": "Consider removing or consolidating"}
 
 
 def has_all(names: Column, wanted) -> Column:
@@ -43,6 +46,24 @@ def analysed(sets: DataFrame) -> DataFrame:
     )
 
 
+def anti_patterns(sets: DataFrame) -> DataFrame:
+    """(id, anti_pattern, severity, location, fix) of (id, names, descriptions): too many patterns, pairs that conflict or repeat each other, and misuses, one for each time a pattern is named."""
+    names = F.col("names")
+    fault = lambda name, severity, place, fix: F.struct(F.lit(name).alias("anti_pattern"), F.lit(severity).alias("severity"), F.lit(place).alias("location"), F.lit(fix).alias("fix"))
+    of_set = [F.when(F.size(names) > 8, fault("Pattern Overload", "high", "Architecture", FIXES["overload"]))]
+    of_set += [F.when(has_all(names, p), fault("Pattern Conflict", "medium", " + ".join(p), FIXES["conflict"])) for p in CLASHES]
+    of_set += [F.when(has_all(names, p), fault("Pattern Redundancy", "low", p[1], FIXES["redundancy"])) for p in REDUNDANT]
+
+    def misuse(name, description):
+        out = F.lit(None)
+        for n, (word, what, severity, fix) in MISUSES.items():
+            out = F.when((name == n) & F.contains(description, F.lit(word)), fault(what, severity, n, fix)).otherwise(out)
+        return out
+
+    found = F.concat(F.array_compact(F.array(*of_set)), F.array_compact(F.zip_with("names", "descriptions", misuse)))
+    return sets.select("id", F.explode(found).alias("f")).select("id", "f.*")
+
+
 def order_faults(sequences: DataFrame) -> DataFrame:
     """(id, name, missing): names whose forerunner does not stand before them in (id, names)."""
     rows = sequences.select("id", "names", F.posexplode("names").alias("at", "name"))

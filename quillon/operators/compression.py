@@ -127,3 +127,76 @@ def quality_controlled(df: DataFrame, most_error: float, bits: tuple[int, ...] =
     out = df.withColumn("_t", F.array(*tried))
     fit = F.get(F.filter("_t", lambda t: t["error"] <= most_error), F.lit(0))
     return out.withColumn("_f", F.coalesce(fit, F.element_at("_t", -1))).withColumns({"bits": F.col("_f.bits"), "error": F.col("_f.error")}).drop("_t", "_f")
+
+
+# What techniques do to the estimated drop in accuracy.
+DROP = {"distillation": 0.8, "product_quantization": 1.2, "quantize4": 1.5}
+
+
+def accuracy_drop(error: Column, explained: Column, name: Column) -> Column:
+    """Ten times the mean error, weighted by the technique, and half of the variance that is not explained; 0 to 1."""
+    weight = F.lit(1.0)
+    for k, w in DROP.items():
+        weight = F.when(name == k, w).otherwise(weight)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), error * 10 * weight + (1 - explained) * 0.5))
+
+
+def _mean_error(v: Column, r: Column) -> Column:
+    return F.coalesce(V.mean(F.zip_with(v, r, lambda x, y: F.abs(x - y))), F.lit(0.0))
+
+
+def compressed(df: DataFrame, most: int = 192, most_drop: float = 0.05, seed: int = 11) -> DataFrame:
+    """Compresses each v by the technique in the column ``name`` (null: by ``technique``).
+
+    Adds technique, codes, scale, zero, bytes_before, bytes_after, ratio,
+    explained, error, drop and speedup. ``adaptive`` takes the first of
+    quantize8, pca and product_quantization whose drop is within ``most_drop``.
+    A product code of a single vector has the vector as its only centre and
+    restores it exactly (product_quantised shares codebooks); a distilled
+    vector is a seeded projection and cannot be restored. Empty or null
+    vectors, and unknown names, stay as they are (technique ``none``).
+    """
+    v, size = F.col("v"), F.size("v")
+    dims = F.least(F.lit(most), F.floor(size * 0.95).cast("int"))
+    named = df.withColumns({"_q8": V.quantised(v, 8), "_q4": V.quantised(v, 4), "_n": F.coalesce("name", technique(v))})
+    kept = dims / F.nullif(size, F.lit(0))
+    drop8 = accuracy_drop(_mean_error(v, V.restored(F.col("_q8"))), F.lit(1.0), F.lit("quantize8"))
+    chosen = F.when(drop8 <= most_drop, "quantize8").when((1 - kept) * 0.5 <= most_drop, "pca").otherwise("product_quantization")
+    known = F.col("_n").isin("quantize8", "quantize4", "pca", "distillation", "product_quantization", "adaptive")
+    named = named.withColumn("technique", F.when(~F.coalesce(size > 0, F.lit(False)) | ~known, "none").when(F.col("_n") == "adaptive", chosen).otherwise(F.col("_n")))
+    t = F.col("technique")
+
+    @F.pandas_udf("array<double>")
+    def distilled(x: pd.Series) -> pd.Series:
+        bases: dict[int, np.ndarray] = {}
+
+        def one(values):
+            if values is None:
+                return None
+            n = len(values)
+            if n not in bases:
+                bases[n] = np.random.default_rng(seed).uniform(-1, 1, (most, n)) * np.sqrt(n / most)
+            return bases[n] @ np.asarray(values, float)
+
+        return pd.Series([one(values) for values in x], dtype=object)
+
+    wide = lambda q: F.transform(q["codes"], lambda c: c.cast("double"))
+    codes = (
+        F.when(t == "quantize8", wide(F.col("_q8"))).when(t == "quantize4", wide(F.col("_q4"))).when(t == "pca", F.slice("v", F.lit(1), dims))
+        .when(t == "distillation", F.col("_d")).otherwise(v)
+    )
+    part = lambda field: F.when(t == "quantize8", F.col("_q8")[field]).when(t == "quantize4", F.col("_q4")[field])
+    error = F.when(t == "quantize8", _mean_error(v, V.restored(F.col("_q8")))).when(t == "quantize4", _mean_error(v, V.restored(F.col("_q4")))).otherwise(0.0)
+    out = named.withColumn("_d", distilled(F.when(t == "distillation", v)))
+    out = out.withColumns({"codes": codes, "scale": part("scale"), "zero": part("zero"), "explained": F.when(t == "pca", kept).otherwise(1.0), "error": error, "bytes_before": size * 4})
+    out = out.withColumn("bytes_after", F.when(t.isin("quantize8", "quantize4"), size).otherwise(F.size("codes") * 4))
+    ratio = F.coalesce(F.try_divide("bytes_before", "bytes_after"), F.lit(1.0))
+    return out.withColumns({"ratio": ratio, "drop": accuracy_drop(F.col("error"), F.col("explained"), t), "speedup": F.sqrt(ratio)}).drop("_q8", "_q4", "_n", "_d")
+
+
+def decompressed(df: DataFrame) -> DataFrame:
+    """Adds ``restored`` to the rows of ``compressed``: codes scaled back, a prefix filled up with zeros, null for distilled vectors."""
+    codes, t = F.col("codes"), F.col("technique")
+    scaled = F.transform(codes, lambda c: (c - F.col("zero")) * F.col("scale"))
+    filled = F.concat(codes, F.array_repeat(F.lit(0.0), (F.col("bytes_before") / 4).cast("int") - F.size(codes)))
+    return df.withColumn("restored", F.when(t.isin("quantize8", "quantize4"), scaled).when(t == "pca", filled).when(t != "distillation", codes))

@@ -124,3 +124,22 @@ def distillation_loss(spark, sf_dir):
     r = vectors(spark, sf_dir).withColumn("r", V.restored(V.quantised(F.col("v"), 8)))
     loss = V.mean(F.zip_with("v", "r", lambda a, b: (a - b) * (a - b)))
     return r.select("id", F.round(loss, 12).alias("loss"), V.nearly_equal(F.col("v"), F.col("r"), 0.002).alias("same"))
+
+
+NAMES = ["quantize8", "quantize4", "pca", "distillation", "product_quantization", "adaptive"]
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT id, v, list_min(v) AS lo, list_max(v) AS hi, ({NAMES!r})[(id % 6)::INTEGER + 1] AS name FROM e), t AS (SELECT *, {_error(4)} AS e4, {_error(8)} AS e8, least(192, floor(len(v) * 0.95))::INTEGER AS dims FROM m),
+c AS (SELECT *, CASE WHEN name <> 'adaptive' THEN name WHEN least(1, e8 * 10) <= 0.05 THEN 'quantize8' WHEN (1 - dims / len(v)::DOUBLE) * 0.5 <= 0.05 THEN 'pca' ELSE 'product_quantization' END AS technique FROM t),
+x AS (SELECT *, CASE technique WHEN 'quantize8' THEN e8 WHEN 'quantize4' THEN e4 ELSE 0 END AS err, CASE technique WHEN 'pca' THEN dims / len(v)::DOUBLE ELSE 1 END AS kept,
+  CASE WHEN technique LIKE 'quantize%' THEN len(v) WHEN technique = 'pca' THEN dims * 4 WHEN technique = 'distillation' THEN 768 ELSE len(v) * 4 END AS after FROM c)
+SELECT id, technique, after::INTEGER AS bytes_after, round(len(v) * 4 / after::DOUBLE, 9) AS ratio, round(sqrt(len(v) * 4 / after::DOUBLE), 9) AS speedup, kept::DOUBLE AS explained, round(err, 9) AS error,
+  round(greatest(0, least(1, err * 10 * CASE technique WHEN 'quantize4' THEN 1.5 ELSE 1 END + (1 - kept) * 0.5)), 9)::DOUBLE AS drop_estimate,
+  CASE technique WHEN 'distillation' THEN NULL WHEN 'pca' THEN round(list_sum(list_transform(v[dims + 1:], lambda x: abs(x))) / len(v), 9) ELSE round(err, 9) END AS restored_error FROM x""")
+def compression_dispatch(spark, sf_dir):
+    """Every technique in turn, by id, there and back."""
+    named = vectors(spark, sf_dir).withColumn("name", F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("id") % 6).cast("int")))
+    out = cp.decompressed(cp.compressed(named))
+    lost = V.mean(F.zip_with("v", "restored", lambda a, b: F.abs(a - b)))
+    rounded = {n: F.round(c, 9) for n, c in {"ratio": F.col("ratio"), "speedup": F.col("speedup"), "error": F.col("error"), "drop_estimate": F.col("drop"), "restored_error": lost}.items()}
+    return out.select("id", "technique", "bytes_after", "explained", *[c.alias(n) for n, c in rounded.items()])

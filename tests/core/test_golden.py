@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing, text, vectors
-from quillon.operators import analysis, code_rules, fusion, fuzzy, graph, lexical, telemetry
+from quillon.operators import analysis, code_rules, composition, compression, fusion, fuzzy, graph, lexical, telemetry
 
 DOCS = [
     (1, "the factory method pattern defines an interface for creating an object"), (2, "abstract factory pattern creates families of related objects"),
@@ -144,6 +144,37 @@ def test_code_rules(spark):
     assert {(r.pattern, r.severity) for r in code_rules.anti_patterns(code).collect()} == {("Spaghetti Code", "medium"), ("Copy-Paste Programming", "medium")}
 
 
+def test_code_rules_say_where_and_why(spark):
+    one = "a\n  static getInstance() { }\nbus.subscribe(x); notify(x)"
+    other = "new A(); new B(); new C(); new D(); listener"
+    code = spark.createDataFrame([(1, one), (2, other), (3, None), (4, "")], "id long, code string")
+    found = {(r.pattern, r.step): (r.category, r.line, r.snippet) for r in code_rules.design_patterns(code).filter("id = 1").collect()}
+    assert found["Singleton", 2] == ("Creational", 2, "static getInstance() { }")
+    assert found["Observer", 1] == ("Behavioral", 3, "bus.subscribe(x); notify(x)")
+    said = {(r.id, r.suggestion, r.confidence) for r in code_rules.suggestions(code).collect()}
+    assert said == {(2, "Factory Method", 0.7), (2, "Observer", 0.6)}
+    better = [(r.id, r.improvement) for r in code_rules.improvements(code).collect()]
+    assert better.count((1, "thread safety")) == 1 and better.count((1, "unsubscribe")) == 2
+
+
+def test_composition_anti_patterns(spark):
+    rows = [(1, ["Singleton", "Prototype", "Observer"], ["for testing", "", "performance"]), (2, ["Adapter"] * 9, [None] * 9), (3, [], []), (4, None, None)]
+    found = {(r.id, r.anti_pattern, r.severity, r.location) for r in composition.anti_patterns(spark.createDataFrame(rows, "id long, names array<string>, descriptions array<string>")).collect()}
+    assert found == {
+        (1, "Pattern Conflict", "medium", "Singleton + Prototype"), (1, "Singleton in Tests", "medium", "Singleton"), (1, "Observer Performance Issue", "low", "Observer"),
+        (2, "Pattern Overload", "high", "Architecture"),
+    }
+
+
+def test_compression_there_and_back(spark):
+    v = [0.5, -0.25, 0.125, 1.0] * 10
+    rows = [(i, v, n) for i, n in enumerate(["quantize8", "quantize4", "pca", "distillation", "product_quantization", "adaptive", None, "odd"])] + [(8, [], "pca"), (9, None, "quantize8"), (10, [0.5] * 4, "quantize8")]
+    got = {r.id: r for r in compression.decompressed(compression.compressed(spark.createDataFrame(rows, "id long, v array<double>, name string"))).collect()}
+    assert [got[i].technique for i in range(10)] == ["quantize8", "quantize4", "pca", "distillation", "product_quantization", "quantize8", "quantize8", "none", "none", "none"]
+    assert max(abs(a - b) for a, b in zip(got[0].restored, v)) < 0.005 and got[2].restored == v[:38] + [0.0, 0.0] and got[4].restored == v and got[3].restored is None
+    assert got[0].ratio == 4.0 and got[0].speedup == 2.0 and len(got[3].codes) == 192 and got[1].drop > got[0].drop
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.1), (1, 5, 0.3), (5, 1, 0.3)], "src long, dst long, weight double")
     starts = spark.createDataFrame([(1,)], "id long")
