@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import decontamination, html_tree, mixing, near_duplicates, quality_rules, secret_scan, sharding, suffix_lm, token_files, toxicity
+from quillon.llm import (
+    decontamination, html_tree, language_id, mixing, near_duplicates, quality_rules, secret_scan, sharding, spelling_variants, suffix_lm, token_files, toxicity, whitening,
+)
 
 QUERIES = {
     "op1_dom_tree_extraction": html_tree.op1_dom_tree_extraction,
@@ -15,6 +17,9 @@ QUERIES = {
     "op9_zstd_token_files": token_files.op9_zstd_token_files,
     "op10_suffix_tree_scores": suffix_lm.op10_suffix_tree_scores,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_rank_order_profiles": language_id.op12_rank_order_profiles,
+    "op13_block_lanczos_whitening": whitening.op13_block_lanczos_whitening,
 }
 
 ORACLES = {
@@ -22,4 +27,6 @@ ORACLES = {
     "op5_decontamination": decontamination.OP5_SQL,
     "op6_blob_ledger": secret_scan.op6_sql(),
     "op8_feistel_sharding": sharding.op8_sql(),
+    "op11_spelling_variants": spelling_variants.op11_sql(),
+    "op12_rank_order_profiles": language_id.op12_sql(),
 }
