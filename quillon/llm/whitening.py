@@ -106,7 +106,7 @@ def _added(df: DataFrame, run: Callable, kind: str, merge: Callable) -> list:
         return pa.Table.from_pylist([merge(table.to_pylist())], schema=schema)
 
     names = [c for c in parts.columns if not c.startswith("_")]
-    schema = pa.schema([table for table in _schema(parts.select(*names))])
+    schema = pa.schema(_schema(parts.select(*names)))
     found = parts.groupBy("_fan").applyInArrow(lambda key, table: group(table).append_column("_fan", pa.array([key[0].as_py()], pa.int32())), kind + ", _fan int")
     return [r.asDict() for r in found.orderBy("_fan").collect()]  # FAN rows
 
@@ -135,6 +135,8 @@ def usable(df: DataFrame) -> DataFrame:
 def _moments(df: DataFrame) -> Fit:
     """Rows, dimensions and sums, in one pass."""
     d = df.agg(F.max(F.size("vector"))).first()[0] or 0
+    if not d:
+        return Fit(0, 0, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = 0, [0] * d
