@@ -39,6 +39,28 @@ SYNONYMS = {
 SUMMARY_WORDS = "pattern design structure architecture implement benefit advantage use when because purpose".split()
 
 
+# Typical use cases of a category, and of any other.
+USE_CASES = {
+    "Creational": "Object instantiation, resource management",
+    "Structural": "Class relationships, interface adaptation",
+    "Behavioral": "Communication, responsibility assignment",
+    "Architectural": "System organization, component interaction",
+    "Cloud-Native": "Scalability, resilience, distributed systems",
+    "Microservices": "Service decomposition, communication patterns",
+    "AI/ML": "Model training, inference, data processing",
+    "Functional": "Data transformation, immutability, composition",
+    "Reactive": "Asynchronous processing, event handling",
+    "Anti-Pattern": "Common mistakes to avoid",
+}
+OTHER_USE_CASES = "General software design"
+
+
+def typical_use_cases(category: Column) -> Column:
+    """What a category is typically used for."""
+    table = F.create_map(*[F.lit(x) for pair in USE_CASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, category), F.lit(OTHER_USE_CASES))
+
+
 def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 

@@ -36,6 +36,12 @@ def first_children(parents: DataFrame, children: DataFrame, on: str, order: list
     return parents.join(lists, on, "left").withColumn("children", F.coalesce("children", F.array()))
 
 
+def broken_in_files(entries: DataFrame, store: DataFrame) -> DataFrame:
+    """Of (file, id, target) the rows whose target is neither an id of the same file nor one of the store's (id)."""
+    own = entries.select("file", F.col("id").alias("target")).distinct()
+    return entries.join(own, ["file", "target"], "left_anti").join(store.select(F.col("id").alias("target")), "target", "left_anti").select("file", "id", "target")
+
+
 def broken_edges(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", key: str = "id") -> DataFrame:
     """Edges with an end that is no node, and which end that is."""
     ids = nodes.select(F.col(key).alias("_id"))

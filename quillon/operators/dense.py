@@ -1,10 +1,4 @@
-"""Dense retrieval: exact top-k by similarity, nearest-neighbour graphs, clustering.
-
-Vectors are (id, v) with v an array of doubles. A batch of queries is taken in
-blocks: each partition of the corpus multiplies its vectors with a bounded block
-of queries in numpy and emits its own k best for each query, so that what is
-shuffled is k rows a query and partition, never all pairs.
-"""
+"""Dense retrieval: exact top-k by similarity (``knn``, see ``vector_index``), means, clustering. Vectors are (id, v) with v an array of doubles."""
 
 from __future__ import annotations
 
@@ -12,81 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-
-#: Query vectors in a broadcast block (64 dimensions: 8 MB).
-BLOCK = 16_384
-
+from quillon.operators.vector_index import exact as knn  # noqa: F401
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=float)
 
 
-def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    product = q @ x.T
-    if metric == "dot":
-        return product
-    if metric == "l2":
-        squares = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * product
-        return 1 / (1 + np.sqrt(np.maximum(squares, 0)))
-    under = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-    return np.where(under > 0, product / np.where(under > 0, under, 1), 0.0)
-
-
-def _best(block, metric: str, k: int, least: float | None, self_pairs: bool):
-    """For each partition: the k best of its rows for every query of a broadcast block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = block.value
-        best_id, best = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
-        for batch in batches:
-            if not len(batch):
-                continue
-            found, x_id = np.round(_scores(metric, _matrix(batch["v"]), q), 9), batch["id"].to_numpy()
-            for i in range(len(ids)):
-                row = found[i]
-                keep = np.ones(len(row), bool) if self_pairs else x_id != ids[i]
-                if least is not None:
-                    keep &= row >= least
-                if len(best[i]) >= k:
-                    keep &= row >= best[i].min()
-                if keep.any():
-                    s, n = np.concatenate((best[i], row[keep])), np.concatenate((best_id[i], x_id[keep]))
-                    order = np.lexsort((n, -s))[:k]
-                    best[i], best_id[i] = s[order], n[order]
-        sizes = [len(b) for b in best]
-        if sum(sizes):
-            yield pd.DataFrame({"query_id": np.repeat(ids, sizes), "id": np.concatenate(best_id), "score": np.concatenate(best)})
-
-    return run
-
-
-def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", least: float | None = None, self_pairs: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): the k best of (id, v) for each (query_id, v); ties go by id.
-
-    Queries are collected and broadcast in blocks of BLOCK; each block is one
-    pass over the corpus. Without ``self_pairs`` a row does not match its own id.
-    """
-    spark, found = corpus.sparkSession, None
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    numbered = queries.select("query_id", V.doubles(F.col("v")).alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
-    for b in range(blocks):
-        rows = (numbered.filter(F.col("_b") == b) if blocks > 1 else numbered).toPandas()
-        if not len(rows):
-            continue
-        block = spark.sparkContext.broadcast((rows["query_id"].to_numpy(np.int64), _matrix(rows["v"])))
-        part = corpus.select(F.col("id").cast("long"), V.doubles(F.col("v")).alias("v")).mapInPandas(_best(block, metric, k, least, self_pairs), "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def vector_mean(df: DataFrame, by: list[str]) -> DataFrame:
     """(*by, mean): the element-wise mean of v; partial sums are formed before the shuffle."""
     cells = df.select(*by, F.posexplode(V.doubles(F.col("v"))).alias("pos", "x")).groupBy(*by, "pos").agg(F.avg("x").alias("x"))

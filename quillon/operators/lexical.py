@@ -100,6 +100,12 @@ def field_weight(words: Column, name: Column, category: Column, text: Column) ->
     return F.aggregate(words, F.lit(0.0), lambda s, w: s + 0.5 * has(text, w) + 1.0 * has(name, w) + 0.5 * has(category, w))
 
 
+def keyword_strength(said: Column) -> Column:
+    """From reasons: 0.3, and 0.2 for each that tells of a matching word; 1 at most."""
+    of_words = F.filter(said, lambda r: F.contains(F.lower(r), F.lit("contains")) | F.contains(F.lower(r), F.lit("matches")) | F.contains(F.lower(r), F.lit("keyword")))
+    return F.least(F.lit(1.0), F.lit(0.3) + 0.2 * F.coalesce(F.size(of_words), F.lit(0)))
+
+
 def reasons(words: Column, name: Column, text: Column, category: Column) -> Column:
     """A sentence for each word and field that holds it, in order; one default if there is none."""
     def said(w):

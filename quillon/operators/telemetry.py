@@ -33,14 +33,15 @@ def ranked_percentiles(events: DataFrame, by: list[str], value: str, shares: dic
     return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *[hit(p).alias(name) for name, p in shares.items()])
 
 
-def prefix_metrics(ranked: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
+def prefix_metrics(ranked: DataFrame, truth: DataFrame, k: int = 10, wanted: DataFrame | None = None) -> DataFrame:
     """Precision, recall and gain at every rank up to k, for (query_id, id, score, rank) and the relevant (query_id, id).
 
     As the service defines them: an irrelevant document gains its score, and the
-    ideal list is all hits; ``ndcg_textbook`` is the usual measure.
+    ideal list is all hits; ``ndcg_textbook`` is the usual measure. ``wanted``
+    (query_id, wanted) tells how many are relevant where ``truth`` has ranked ones only.
     """
     marked = ranked.filter(F.col("rank") <= k).join(truth.select("query_id", "id").distinct().withColumn("rel", F.lit(1)), ["query_id", "id"], "left").na.fill(0, ["rel"])
-    wanted = truth.groupBy("query_id").agg(F.count_distinct("id").alias("wanted"))
+    wanted = wanted if wanted is not None else truth.groupBy("query_id").agg(F.count_distinct("id").alias("wanted"))
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     discount = 1 / F.log2(F.col("rank") + 1)
     out = marked.join(wanted, "query_id", "left").na.fill(0, ["wanted"]).withColumns(

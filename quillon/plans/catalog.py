@@ -132,8 +132,9 @@ def top3_per_parent(spark, sf_dir):
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey) WHERE place <= 3""")
 def alternatives_top3(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    other = part.withColumnRenamed("p_partkey", "alternative")
-    pairs = part.drop("p_retailprice").join(other, ["p_brand", "p_size"]).filter("p_partkey <> alternative")
+    # without the part itself, its first three are among the group's first four
+    first = part.withColumn("_r", F.row_number().over(Window.partitionBy("p_brand", "p_size").orderBy("p_retailprice", "p_partkey"))).filter("_r <= 4").drop("_r")
+    pairs = part.drop("p_retailprice").join(first.withColumnRenamed("p_partkey", "alternative"), ["p_brand", "p_size"]).filter("p_partkey <> alternative")
     order = Window.partitionBy("p_partkey").orderBy("p_retailprice", "alternative")
     return pairs.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("p_partkey", "alternative", "place")
 

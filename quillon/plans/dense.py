@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators import dense as dn
+from quillon.operators.inverted_index import fingerprint
+from quillon.operators.vector_index import VectorIndex
+from quillon.sources.shared import shared_dir
 from quillon.plans.register import query, table
 
 
@@ -39,6 +42,31 @@ def vector_search_filtered(spark, sf_dir):
     return dn.knn(chosen, vectors(spark, sf_dir).withColumnRenamed("id", "query_id"), 10, least=0.1)
 
 
+def kept_index(spark, sf_dir):
+    """The kept index of the vectors; the first query that needs it builds it."""
+    v = vectors(spark, sf_dir)
+    return VectorIndex.ensure(v, f"{shared_dir(spark)}/vector-index-{fingerprint(v)}")
+
+
+@query()
+def ann_cosine(spark, sf_dir):
+    """Neighbours from the index; the queries are the rows whose id is divisible by 100, against all rows."""
+    asked = vectors(spark, sf_dir).filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return kept_index(spark, sf_dir).search(asked, 10)
+
+
+@query("SELECT count(*)::BIGINT AS queries, (count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)))::BIGINT AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def ann_recall(spark, sf_dir):
+    """Whether the index finds nine tenths of the exact neighbours."""
+    v = vectors(spark, sf_dir)
+    asked = v.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    true = dn.knn(v, asked, 10).select("query_id", "id")
+    found = kept_index(spark, sf_dir).search(asked, 10).select("query_id", "id", F.lit(1).alias("found"))
+    counts = true.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
+    asked = asked.agg(F.count("*").alias("queries"))
+    return asked.join(F.broadcast(counts)).select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
 @query(f"WITH {PAIRS.format(COSINE, 'AND a.vec_id = 7')} SELECT id, score, rank FROM r WHERE rank <= 5")
 def similar_by_id(spark, sf_dir):
     v = vectors(spark, sf_dir)

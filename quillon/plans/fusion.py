@@ -9,7 +9,7 @@ from quillon.functions import text as T
 from quillon.operators import analysis, dense, fusion, lexical
 from quillon.plans import common_sql as sql
 from quillon.plans.dense import vectors
-from quillon.plans.lexical import batch, corpus
+from quillon.plans.lexical import batch, corpus, index
 from quillon.plans.register import query, table
 
 FIXED = [
@@ -80,7 +80,7 @@ def dense_leg(spark, sf_dir, k: int = 10):
 
 def sparse_leg(spark, sf_dir, k: int = 10):
     docs = corpus(spark, sf_dir)
-    scores = lexical.minmax(lexical.bm25(docs, batch(spark, sf_dir)), docs)
+    scores = lexical.minmax(index(spark, sf_dir).bm25(batch(spark, sf_dir)), docs)
     return lexical.top_k(scores.select("query_id", "id", F.round("norm", 9).alias("score")), k)
 
 

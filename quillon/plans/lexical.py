@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import bm25_tokens, shingles, strings
 from quillon.operators import lexical as lx
+from quillon.operators.inverted_index import InvertedIndex
 from quillon.plans import common_sql as sql
 from quillon.plans.register import query, table
 
@@ -21,16 +22,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def index(spark: SparkSession, sf_dir: str, kind: str = "bm25") -> InvertedIndex:
+    """The kept index of the documents; the first query that needs it builds it."""
+    return InvertedIndex.ensure(corpus(spark, sf_dir), kind)
+
+
 @query(f"WITH {sql.BM25} SELECT query_id, id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 10")
 def bm25_top10(spark, sf_dir):
-    scores = lx.bm25(corpus(spark, sf_dir), batch(spark, sf_dir))
-    return lx.top_k(scores.withColumn("score", F.round("score", 9)), 10)
+    """From the kept index, without the blocks that cannot matter."""
+    return index(spark, sf_dir).top_k(batch(spark, sf_dir), 10)
 
 
 @query(f"WITH {sql.BM25} SELECT query_id, id, round(score, 9) AS score, round(norm, 9) AS norm FROM m")
 def bm25_minmax(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    scores = lx.minmax(lx.bm25(docs, batch(spark, sf_dir)), docs)
+    scores = lx.minmax(index(spark, sf_dir).bm25(batch(spark, sf_dir)), corpus(spark, sf_dir))
     return scores.select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
 
 
@@ -41,8 +46,7 @@ SELECT query_id, id, source, round(confidence, 9) AS confidence, rank FROM r WHE
 
 
 def keyword_search(spark, sf_dir, least: float, categories: list[str] | None) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    scores = lx.minmax(lx.bm25(docs, batch(spark, sf_dir)), docs)
+    scores = lx.minmax(index(spark, sf_dir).bm25(batch(spark, sf_dir)), corpus(spark, sf_dir))
     found = scores.withColumn("confidence", F.round(F.least(F.greatest(F.col("norm"), F.lit(0.0)), F.lit(0.99)), 9)).filter(F.col("confidence") >= least)
     found = found.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     if categories:
@@ -71,7 +75,7 @@ x AS (SELECT query_id, id, list_filter(flatten(list_transform(w, lambda v: [
 SELECT query_id, id, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'Keyword match' END AS reasons FROM x""")
 def bm25_reasons(spark, sf_dir):
     docs, queries = corpus(spark, sf_dir), batch(spark, sf_dir)
-    top = lx.top_k(lx.minmax(lx.bm25(docs, queries), docs).withColumn("norm", F.round("norm", 9)), 3, "norm")
+    top = lx.top_k(lx.minmax(index(spark, sf_dir).bm25(queries), docs).withColumn("norm", F.round("norm", 9)), 3, "norm")
     full = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("name"), F.col("text").alias("body"), "source")
     joined = top.select("query_id", "id").join(queries, "query_id").join(full, "id")
     said = lx.reasons(bm25_tokens(F.col("text")), F.col("name"), F.col("body"), F.col("source"))
@@ -91,10 +95,18 @@ def tfidf_true_df(spark, sf_dir):
     return lx.tfidf(corpus(spark, sf_dir), batch(spark, sf_dir)).select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
 
 
+@query(f"""SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(score, 6) AS score FROM ({TFIDF_SQL.format("count(*)")})) QUALIFY rank <= 10""")
+def tfidf_top10(spark, sf_dir):
+    """From the kept index."""
+    scores = index(spark, sf_dir, "sparse").tfidf(batch(spark, sf_dir))
+    return lx.top_k(scores.select("query_id", "id", F.round(F.round("score", 9), 6).alias("score")), 10)
+
+
 @query(TFIDF_SQL.format("1"))
 def sparse_reference(spark, sf_dir):
     """The variant whose document frequency is counted within one document."""
-    return lx.tfidf(corpus(spark, sf_dir), batch(spark, sf_dir), constant_df=True).select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
+    return index(spark, sf_dir, "sparse").tfidf(batch(spark, sf_dir), constant_df=True).select("query_id", "id", F.round("score", 9).alias("score"), F.round("norm", 9).alias("norm"))
 
 
 @query("""WITH w AS (SELECT unnest(['brown', 'steel', 'small', 'polished']) AS w),
@@ -110,16 +122,29 @@ def field_weight_score(spark, sf_dir):
 @query(f"""SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (
   SELECT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term""")
 def term_statistics(spark, sf_dir):
-    found = lx.postings(corpus(spark, sf_dir))
-    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index(spark, sf_dir).terms.select("term", "df", F.col("total").alias("tf"))
 
 
 @query(f"""WITH t AS (SELECT {sql.tokens('text')} AS w FROM documents)
 SELECT count(*)::BIGINT AS n_docs, round(avg(len(w)), 9) AS avg_len, (SELECT count(DISTINCT u)::BIGINT FROM (SELECT unnest(w) AS u FROM t)) AS vocabulary FROM t""")
 def corpus_statistics(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    words = docs.select(F.explode(bm25_tokens(F.col("text"))).alias("u")).agg(F.count_distinct("u").alias("vocabulary"))
-    return lx.corpus_stats(docs).select(F.col("n").alias("n_docs"), F.round("avgdl", 9).alias("avg_len")).join(F.broadcast(words))
+    kept = index(spark, sf_dir)
+    return kept.terms.agg(F.lit(kept.n).cast("long").alias("n_docs"), F.round(F.lit(kept.avgdl), 9).alias("avg_len"), F.count("*").alias("vocabulary"))
+
+
+@query(f"""WITH q AS ({sql.QUERIES}), qt AS (SELECT DISTINCT query_id, unnest({sql.tokens('text')}) AS term FROM q),
+d AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({sql.tokens('text')}) AS term FROM documents) GROUP BY term)
+SELECT query_id, count(*)::BIGINT AS terms, sum(df)::BIGINT AS postings FROM qt JOIN d USING (term) GROUP BY query_id""")
+def index_lists(spark, sf_dir):
+    """Terms of each query that the index has, and the length of their lists."""
+    found = lx.query_terms(batch(spark, sf_dir)).join(index(spark, sf_dir).terms, "term")
+    return found.groupBy("query_id").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))
+
+
+@query()
+def index_blocks_read(spark, sf_dir):
+    """Blocks of each query's lists, and those that the search for ten leaves out."""
+    return index(spark, sf_dir).read(batch(spark, sf_dir), 10)
 
 
 @query(r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: length(x) > 0) AS w FROM documents),

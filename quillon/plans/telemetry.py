@@ -61,8 +61,12 @@ def metrics(spark, sf_dir):
     from quillon.plans.lexical import batch
 
     labels = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
-    truth = batch(spark, sf_dir).select("query_id").join(labels, F.col("id") % 3 == F.col("query_id") % 3)
-    return tm.prefix_metrics(sparse_leg(spark, sf_dir), truth)
+    ranked = sparse_leg(spark, sf_dir)
+    truth = ranked.select("query_id", "id").join(labels.distinct(), "id", "left_semi").filter("id % 3 = query_id % 3")
+    # the relevant ones of a query are those with its remainder: three counts
+    counts = labels.groupBy((F.col("id") % 3).alias("_m")).agg(F.count_distinct("id").alias("wanted"))
+    wanted = batch(spark, sf_dir).select("query_id", (F.col("query_id") % 3).alias("_m")).join(F.broadcast(counts), "_m").drop("_m")
+    return tm.prefix_metrics(ranked, truth, wanted=wanted)
 
 
 @query(f"{METRIC_SQL} SELECT query_id, rank, round(precision, 9) AS precision, round(recall, 9) AS recall, round(ndcg, 9) AS ndcg, round(ndcg_textbook, 9) AS ndcg_textbook FROM me")
