@@ -48,6 +48,7 @@ BLOCK = frozenset(
 )
 NEVER = frozenset("button head option select svg math canvas audio video object map datalist".split())
 TABLE = frozenset("table tr tbody thead tfoot td th body html".split())
+ENDS, PARTED = frozenset(("header", "footer")), frozenset(("article", "section", "main"))
 #: A start tag closes these, up to the elements that hold it back.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -59,16 +60,19 @@ TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[a-z]+")
-CLUES = re.compile(r"©|\bcopyright\b|\bcookies?\b|\bsubscribe\b|\bsign up\b|\bnewsletter\b|\ball rights reserved\b|\bread more\b|\blog ?in\b|\bprivacy\b|\breply\b|\badvert")
+CLUES = re.compile(r"©|\bcopyright\b|\bcookies?\b|\bsubscribe\b|\bsign up\b|\bnewsletter\b|\ball rights reserved\b|\bread more\b|\blog ?in\b|\bprivacy\b|\breply\b|\breplies\b|\badvert|\bcomments?\b|\bresponses?\b|\bthoughts? on\b|\bleave a\b|\bsays:")
+#: What stands over readers' comments.
+HEADS = re.compile(r"(?:\d+ )?(?:comments?|responses?|replies|thoughts? on .{1,80}|leave a (?:reply|comment))(?: \(\d+\))?[.:]?")
 #: Stands before text that is content, in labelled pages only.
 MARK = "\ue000"
 
 
 class Node:
-    __slots__ = ("links", "names", "parent", "text", "tag")
+    __slots__ = ("inside", "links", "names", "parent", "tag", "text")
 
-    def __init__(self, tag: str, parent: int, names: tuple[str, ...] = (), text: str = "", links: int = 0):
+    def __init__(self, tag: str, parent: int, names: tuple[str, ...] = (), text: str = "", links: int = 0, inside: bool = False):
         self.tag, self.parent, self.names, self.text, self.links = tag, parent, names, text, links
+        self.inside = inside  # a header or footer of an article, a section or the main part
 
 
 class _Open:
@@ -188,7 +192,8 @@ def parsed(page: str) -> list[Node]:
         elif tag in BLOCK:
             ended()
             names = tuple(dict.fromkeys(w for v in NAMES.findall(attributes) for w in WORD.findall(v.lower()))) if attributes else ()
-            nodes.append(Node(tag, opened.stack[-1][1], names))
+            inside = tag in ENDS and nodes[opened.stack[-1][1]].tag in PARTED
+            nodes.append(Node(tag, opened.stack[-1][1], names, inside=inside))
             opened.push(tag, len(nodes) - 1)
         elif tag == "a":
             link = len(opened.stack)
@@ -199,9 +204,10 @@ def parsed(page: str) -> list[Node]:
 
 # Steps of what is measured, and the names of the steps' ranges.
 SHARES, CHARS, STOPS = (0.05, 0.35, 0.75), (25, 80, 200, 600), (1, 3, 6)
+COMMENTS = "run heads comments"
 RUN_LINKS, BLOCK_LINKS = [f"run links {k}" for k in range(4)], [f"block links {k}" for k in range(4)]
 RUN_SHAPE = [[f"run chars {k} stops {j}" for j in range(4)] for k in range(5)]
-HOLDERS = frozenset("div section ul ol dl table td".split())
+HOLDERS = frozenset("div section dl table td".split())
 #: Clues among a run's characters, by the hundred.
 RATES, RUN_CLUES = (0.15, 0.6, 1.2, 1.8, 2.6), [[f"run chars {k} clues {j}" for j in range(6)] for k in range(5)]
 
@@ -225,6 +231,9 @@ def observations(nodes: list[Node]) -> list[list[str]]:
             seen = [RUN_LINKS[bisect_right(SHARES, x.links / chars[i])]]
             clues = sum(1 for _ in CLUES.finditer(text.lower()))
             size = bisect_right(CHARS, chars[i])
+            if HEADS.fullmatch(text.lower()):
+                out.append([COMMENTS])
+                continue
             # one observation, as length, sentences and clues depend on each other
             seen.append(RUN_CLUES[size][bisect_right(RATES, 100 * clues / chars[i])] if clues else RUN_SHAPE[size][bisect_right(STOPS, stops)])
         else:
@@ -235,13 +244,24 @@ def observations(nodes: list[Node]) -> list[list[str]]:
     return out
 
 
+def shares(nodes: list[Node]) -> list[float]:
+    """How much each node's observations count: the items of a list are alike, so that all of them together say what one does."""
+    items = Counter(x.parent for x in nodes if x.tag == "li")
+    return [1 / items[nodes[x.parent].parent] if x.tag == "#" and nodes[x.parent].tag == "li" else 1.0 for x in nodes]
+
+
 def kind_of(x: Node) -> str:
-    """What an edge's potential depends on: the child's tag, and whether class, id or role say more of it."""
-    return x.tag + " named" if x.names else x.tag
+    """What an edge's potential depends on: the child's tag, and whether class, id or role say more of it in words that layouts commonly use."""
+    kind = x.tag + " inside" if x.inside else x.tag
+    return kind + " named" if not TELLING.isdisjoint(x.names) else kind
 
 
-#: Counts that every label pair of an edge starts with, and the most that a node's own observations weigh (log-ratio).
-PRIOR, MOST = 0.05, 4.0
+#: Counts that every label pair of an edge starts with, and the most that a node's own observations weigh for content (log-ratio); against it, twice as much, or thrice for a heading of comments.
+PRIOR, MOST = 0.01, 4.0
+#: The least log-ratio of a block without a name, whose runs tell what they are themselves.
+UNNAMED_LEAST = -1.0
+#: The least log-ratio of a list's items together: links alone do not take a list out of an article, nor the article with it.
+LIST_LEAST = -2.0
 #: Instead of 0, so that no sum vanishes: the probability of content below an element that holds none.
 NEVER_BELOW = 1e-9
 
@@ -258,11 +278,11 @@ class Model:
             labels = labels_in(nodes)
             for x in nodes:
                 x.text = x.text.replace(MARK, "")
-            for i, (x, what) in enumerate(zip(nodes, observations(nodes), strict=True)):
+            for i, (x, what, share) in enumerate(zip(nodes, observations(nodes), shares(nodes), strict=True)):
                 y = labels[i]
-                labels_of["run" if x.tag == "#" else "block", y] += 1
+                labels_of["run" if x.tag == "#" else "block", y] += share
                 for w in what:
-                    seen[w][y] += 1
+                    seen[w][y] += share
                 if x.parent >= 0:
                     for kind in (kind_of(x), "*"):
                         edges[kind][labels[x.parent]][y] += 1
@@ -281,9 +301,10 @@ class Model:
         get = self.ratio.get
         kinds = list(map(kind_of, nodes))
         on = []
-        for x, what in zip(nodes, observations(nodes), strict=True):
+        for x, what, share in zip(nodes, observations(nodes), shares(nodes), strict=True):
             weight = sum(get(w, 0.0) for w in what)
-            on.append(math.exp(max(-MOST, min(MOST, weight)) if x.tag == "#" else max(-2 * MOST, min(MOST if x.names or x.parent < 0 else 1.0, weight))))
+            weight = weight if share == 1 and nodes[x.parent].tag != "li" else share * max(LIST_LEAST, weight)
+            on.append(math.exp(max(-3 * MOST if what[:1] == [COMMENTS] else -2 * MOST, min(MOST, weight)) if x.tag == "#" else max(-2 * MOST if x.names else UNNAMED_LEAST, min(MOST if x.names or x.parent < 0 else 1.0, weight))))
         up0, up1 = [1.0] * n, on  # what the node and all below it say of its label
         to0, to1 = [1.0] * n, [1.0] * n  # what it says of its parent's label
         for i in range(n - 1, 0, -1):
@@ -343,6 +364,9 @@ PARTS = {
 }
 
 
+#: All these words.
+TELLING = frozenset(w for words in PARTS.values() for w in words.split())
+
 SAYINGS = (
     "we use cookies to improve your visit", "by continuing you accept our privacy policy", "subscribe to our newsletter", "sign up for free", "all rights reserved",
     "read more", "log in to reply", "this is an advertisement", "your privacy matters to us", "accept all cookies",
@@ -357,6 +381,8 @@ class _Author:
     def __init__(self, seed: int):
         self.rng = random.Random(seed)
         self.semantic = self.rng.random() < 0.6
+        self.nameless = self.rng.random() < 0.2  # a layout whose names say nothing; its tags do
+        self.semantic |= self.nameless
 
     def word(self) -> str:
         return "".join(self.rng.choice(self.SYLLABLES) for _ in range(self.rng.randrange(1, 4)))
@@ -374,7 +400,7 @@ class _Author:
         return self.rng.random() < p
 
     def names(self, part: str) -> str:
-        chosen = self.rng.sample(PARTS[part].split(), 1 + self.chance(0.35))
+        chosen = [self.word() + self.word()] if self.nameless else self.rng.sample(PARTS[part].split(), 1 + self.chance(0.35))
         return f' {self.rng.choice(("class", "class", "id"))}="{self.rng.choice(("-", " ", "_")).join(chosen)}"'
 
     def box(self, part: str, tag: str, inner: str) -> str:
@@ -421,7 +447,13 @@ class _Author:
 
     def comments(self) -> str:
         one = lambda: f"<div class='comment'><b>{self.word()}</b><p>{self.sentences(self.rng.randrange(1, 4))}</p></div>" if self.chance(0.7) else f"<li>{self.sentences(2)}</li>"
-        return self.box("comments", "section", f"<h3>{self.words(1, 3)}</h3>" + "".join(one() for _ in range(self.rng.randrange(1, 5))))
+        some = "".join(one() for _ in range(self.rng.randrange(1, 5)))
+        if self.nameless or self.chance(0.25):  # told by the heading alone
+            saying = self.rng.choice(("{} thoughts on this", "{} comments", "{} responses", "Comments", "Leave a reply", "Replies", "{} thoughts on " + self.words(1, 6)))
+            some = "".join(f"<{tag}>{self.sentences(self.rng.randrange(1, 4))}</{tag}>" for tag in [self.rng.choice(("p", "div", "li"))] * self.rng.randrange(1, 5))
+            tag = self.rng.choice(("section", "div"))
+            return f"<{tag}><h3>{saying.format(self.rng.randrange(1, 90))}</h3>{some}</{tag}>"
+        return self.box("comments", "section", f"<h3>{self.words(1, 3)}</h3>" + some)
 
     # what is content
 
@@ -440,6 +472,11 @@ class _Author:
     def short(self) -> str:
         return MARK + self.words(1, 5)
 
+    def linked(self) -> str:
+        """A run that is a link, or a link with some words before or behind it."""
+        before, behind = self.rng.choice((("", ""), ("", ""), (self.words(1, 4) + " ", ""), ("", " " + self.words(1, 8))))
+        return f'{MARK}{before}<a href="/{self.word()}">{self.words(1, 6)}</a>{behind}'
+
     def either(self) -> str:
         return self.short() if self.chance(0.5) else self.line()
 
@@ -451,8 +488,8 @@ class _Author:
         return f"<{tag}>{MARK}{self.words(1, 8)}</{tag}>"
 
     def listing(self) -> str:
-        tag, of = self.rng.choice(("ul", "ol")), self.rng.choice((self.short, self.line))
-        return f"<{tag}>" + "".join(f"<li>{of()}" + ("</li>" if self.chance(0.9) else "") for _ in range(self.rng.randrange(2, 7))) + f"</{tag}>"
+        tag, of = self.rng.choice(("ul", "ol")), self.rng.choice((self.short, self.line, self.linked))
+        return f"<{tag}>" + "".join(f"<li>{of()}" + ("</li>" if self.chance(0.9) else "") for _ in range(self.rng.randrange(1, 7))) + f"</{tag}>"
 
     def terms(self) -> str:
         return "<dl>" + "".join(f"<dt>{self.short()}</dt><dd>{self.either()}</dd>" for _ in range(self.rng.randrange(1, 5))) + "</dl>"
@@ -484,22 +521,29 @@ class _Author:
     def blocks(self, k: int, depth: int = 0) -> str:
         kinds = [(50, self.paragraph), (9, self.heading), (8, self.listing), (3, self.table), (3, self.code), (3, self.figure), (3, self.quote), (2, self.terms), (2, self.line)]
         kinds += [(12, lambda: self.group(depth))] if depth < 3 else []
-        kinds += [(4, lambda: getattr(self, self.rng.choice(("ad", "sidebar", "share", "notice", "form")))())]
+        kinds += [(4, lambda: getattr(self, self.rng.choice(self.told(("ad", "sidebar", "share", "notice", "form"))))())]
         weights, makers = zip(*kinds, strict=True)
         return "".join(make() for make in self.rng.choices(makers, weights, k=k))
 
+    def told(self, parts: tuple[str, ...]) -> tuple[str, ...]:
+        """Of some parts those that their tags and words tell, where names say nothing."""
+        return tuple(p for p in parts if p in ("form", "menu", "comments", "header")) if self.nameless else parts
+
     def page(self) -> str:
         rng = self.rng
         body = f"<h1>{MARK}{self.words(2, 10).capitalize()}</h1>" if self.chance(0.85) else ""
-        body += (self.share() if self.chance(0.2) else "") + self.blocks(rng.randrange(1, 12)) + (self.comments() if self.chance(0.25) else "")
+        headed = bool(body) and self.semantic and self.chance(0.3)  # the article has a header of its own
+        if headed:
+            body = f"<header>{body}{f'<p>{MARK}{self.words(3, 14)}</p>' if self.chance(0.3) else ''}</header>"
+        body += (self.share() if self.chance(0.2) and self.told(("share",)) else "") + self.blocks(rng.randrange(1, 12)) + (self.comments() if self.chance(0.25) else "")
         if self.semantic:
             body = f"<article>{body}</article>" if self.chance(0.75) else body
             body = f"<main>{body}</main>" if "<article>" not in body[:9] or self.chance(0.3) else body
         elif self.chance(0.9):  # otherwise the article's blocks stand in the body
             body = self.box("content", "div", body)
             body = self.box("content", "div", body) if self.chance(0.3) else body
-        before = [getattr(self, p)() for p in ("header", "menu", "notice", "ad", "form", "sidebar") if self.chance(0.5)]
-        after = [getattr(self, p)() for p in ("share", "comments", "sidebar", "ad", "form", "menu", "notice") if self.chance(0.4)] + [self.footer()] * self.chance(0.85)
+        before = [getattr(self, p)() for p in self.told(("header", "menu", "notice", "ad", "form", "sidebar")) if self.chance(0.5)]
+        after = [getattr(self, p)() for p in self.told(("share", "comments", "sidebar", "ad", "form", "menu", "notice")) if self.chance(0.4)] + [self.footer()] * self.chance(0.85)
         return f"<html><head><title>{self.words(2, 6)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>"
 
 

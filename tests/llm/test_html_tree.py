@@ -116,3 +116,94 @@ def test_null_repeated_and_empty(spark, tmp_path):
     assert html_tree.op1_dom_tree_extraction(spark, fixtures.empty(spark, tmp_path)).count() == 0
 
 
+
+
+LONG_A = "A paragraph that has some words in it, commas too, and goes on for a while so that it is long enough to count as text here."
+LONG_B = "Another paragraph says more about this; it is, as the first one, about a hundred and twenty characters long, or so I hope."
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("tag", ["article", "main", "div", "div class='content'"])
+def test_linked_lists_stay(model, tag, n):
+    items = [f"Linked item {i}" for i in range(n)]
+    inner = f"<p>{LONG_A}</p><p>{LONG_B}</p><ul>" + "".join(f"<li><a href=/{i}>{x}</a></li>" for i, x in enumerate(items)) + "</ul>"
+    page = f"<html><body><nav><a href=/>Home</a></nav><{tag}>{inner}</{tag.split()[0]}><footer>&copy; 2020 X. All rights reserved.</footer></body></html>"
+    assert model.main_text(page) == "\n\n".join([LONG_A, LONG_B, *items])
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div class=xq><h1>Some heading</h1><p>{LONG_A}</p></div>", ["Some heading", LONG_A]),
+    (f"<div class=xq><h1>Some heading</h1><p>{LONG_A}</p><p>{LONG_B}</p><p>{LONG_A}</p></div>", ["Some heading", LONG_A, LONG_B, LONG_A]),
+    ("<div class=xq><h1>Ein Titel</h1><p>Ein kurzer Absatz, mehr nicht.</p></div>", ["Ein Titel", "Ein kurzer Absatz, mehr nicht."]),
+    (f"<article><h1>T</h1><p>{LONG_A}</p><p>{LONG_B}</p></article><section><h3>3 thoughts on this</h3><p>I liked it a lot, thanks.</p><p>Me too, really. Well done!</p></section>", ["T", LONG_A, LONG_B]),
+    (f"<article><h1>T</h1><p>{LONG_A}</p><p>{LONG_B}</p><section><h3>3 thoughts on this</h3><p>I liked it a lot, thanks.</p><p>Me too, really. Well done!</p></section></article>", ["T", LONG_A, LONG_B]),
+    (f"<article><header><h1>Own title</h1></header><p>{LONG_A}</p><p>{LONG_B}</p></article>", ["Own title", LONG_A, LONG_B]),
+    (f"<header><a href=/>Site</a><p>A motto</p></header><article><header><h1>Own title</h1></header><p>{LONG_A}</p></article><footer>&copy; me</footer>", ["Own title", LONG_A]),
+])
+def test_unknown_names_comments_and_headers(model, page, want):
+    assert model.main_text(page) == "\n\n".join(want)
+
+
+def other_page(seed):
+    """A page of another author: (html, runs of its article, other runs). Shares nothing with the model's own composer."""
+    rng = __import__("random").Random(f"other {seed}")
+    words = "time river stone people small house under many water again light story never garden winter paper great market letter answer".split()
+    said = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
+    full = lambda: ". ".join(said(6, 18).capitalize() for _ in range(rng.randint(2, 5))) + "."
+    keep, drop = [], []
+
+    def run(text, into):
+        into.append(text)
+        return text
+
+    def article():
+        out = f"<h1>{run(said(2, 6).capitalize(), keep)}</h1>"
+        if layout == 2:
+            out = f"<header>{out}</header>"
+        for _ in range(rng.randint(3, 9)):
+            kind = rng.random()
+            if kind < 0.6:
+                out += f"<p>{run(full(), keep)}</p>\n"
+            elif kind < 0.7:
+                out += f"<h2>{run(said(2, 5).capitalize(), keep)}</h2>"
+            elif kind < 0.8:
+                out += "<ul>" + "".join(f"<li>{run(said(3, 9), keep)}</li>" for _ in range(3)) + "</ul>"
+            elif kind < 0.86:
+                out += "<ol>" + "".join(f"<li><a href='#'>{run(said(2, 5), keep)}</a></li>" for _ in range(2)) + "</ol>"
+            elif kind < 0.93:
+                out += f"<blockquote><p>{run(full(), keep)}</p></blockquote>"
+            else:
+                out += f"<table><tr><td>{run(said(1, 3), keep)}</td><td>{run(said(1, 3), keep)}</td></tr></table>"
+        return out
+
+    layout = rng.randrange(3)
+    menu = "".join(f"<li><a href='/{i}'>{run(said(1, 2), drop)}</a></li>" for i in range(rng.randint(3, 7)))
+    foot = run(f"© {rng.randint(1999, 2025)} {said(1, 3)}. All rights reserved.", drop)
+    side = f"<h4>{run('Related', drop)}</h4><ul>" + "".join(f"<li><a href='/r{i}'>{run(said(3, 7), drop)}</a></li>" for i in range(4)) + "</ul>"
+    voices = "".join(f"<div class='comment'><p>{run(full(), drop)}</p></div>" for _ in range(rng.randint(1, 4)))
+    said_by = f"<h3>{run(f'{rng.randint(2, 9)} comments', drop)}</h3>{voices}"
+    ask = f"<p>{run('Subscribe to our newsletter, and read more of this.', drop)}</p>"
+    if layout == 0:
+        page = f"<div id='navbar'><ul>{menu}</ul></div><div class='post-body'>{article()}</div><div class='sidebar'>{side}</div><div id='comments'>{said_by}</div><div class='footer'>{foot}</div>"
+    elif layout == 1:
+        page = f"<nav><ul>{menu}</ul></nav><main><article>{article()}</article></main><aside>{side}</aside><div class='newsletter'>{ask}</div><footer>{foot}</footer>"
+    else:
+        page = f"<header><ul>{menu}</ul></header><article>{article()}</article><section class='comments'>{said_by}</section><footer><p>{foot}</p></footer>"
+    return f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>", keep, drop
+
+
+def test_pages_of_another_author(model):
+    kept = lost = foreign = total = 0
+    for seed in range(300):
+        page, keep, drop = other_page(seed)
+        found = model.main_text(page).split("\n\n")
+        want = {k: keep.count(k) for k in keep}
+        for run in found:
+            if want.get(run, 0) > 0:
+                want[run] -= 1
+            else:
+                foreign += len(run)
+        total += sum(map(len, keep))
+        lost += sum(len(k) * n for k, n in want.items())
+        kept += sum(map(len, found))
+    assert lost <= 0.02 * total and foreign <= 0.02 * kept
