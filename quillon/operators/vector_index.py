@@ -36,8 +36,9 @@ from quillon.sources.shared import materialise, shared_dir
 ROWS, CELLS = 16_384, 4_000_000
 #: Rows that centres are fitted on, and rows of those that measure the recall.
 SAMPLE, TRIALS = 20_000, 500
-#: Folders that the index is partitioned into.
+#: Folders that the index is partitioned into, and its tables.
 GROUPS = 64
+CELL, SIZE = "id long, v array<double>, cell int, group int", "cell int, n long, parts int"
 
 
 def similarities(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -182,8 +183,8 @@ class VectorIndex:
         head = spark.read.parquet(f"{path}/current").first()
         self.build, self.probes, self.d = head["build"], head["probes"], head["d"]
         self.centres = np.array(head["centres"]).reshape(-1, self.d) if self.d else np.zeros((0, 0))
-        self.cells = spark.read.parquet(f"{self.build}/cells")
-        self.sizes = spark.read.parquet(f"{self.build}/sizes")
+        self.cells = spark.read.schema(CELL).parquet(f"{self.build}/cells")
+        self.sizes = spark.read.schema(SIZE).parquet(f"{self.build}/sizes")
 
     @classmethod
     def ensure(cls, corpus: DataFrame, path: str | None = None, k: int = 10, recall: float = 0.95, cells: int | None = None) -> VectorIndex:
@@ -216,7 +217,7 @@ class VectorIndex:
 
         celled = data.mapInPandas(placed, "id long, v array<double>, cell int") if d else data.withColumn("cell", F.lit(0))
         celled.withColumn("group", F.col("cell") % GROUPS).repartition("group", F.pmod(F.xxhash64("id"), F.lit(max(1, total // 10**6)))).write.partitionBy("group").parquet(f"{build}/cells")
-        written = spark.read.parquet(f"{build}/cells")
+        written = spark.read.schema(CELL).parquet(f"{build}/cells")
         sizes = written.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / ROWS).cast("int"))
         sizes.coalesce(1).write.parquet(f"{build}/sizes")
         kind = "build string, probes int, d int, centres array<double>"
