@@ -25,7 +25,8 @@ tokens that follow them, so that tokens are sent once:
    counted before by blocks, is sent to each of these. So are hot contexts of two and
    more words in turn.
 3. A bucket counts contexts and symbols level by level, and adds up its tokens'
-   log-probabilities by text. Blocks bring these sums together.
+   log-probabilities by text, each rounded to 2^-24, so that scores are the same whatever the buckets.
+   Blocks bring these sums together.
 
 Words are known by 64 bits of their hash. The driver holds the number of words by range and
 class of counts (at most ``RANGES`` times 800 numbers) and the hot contexts (at most four for each bucket).
@@ -62,6 +63,9 @@ END, NONE = np.uint64(1), 0
 #: Counts below have a class each; of larger ones, eight classes double the count. The class of words that occur once.
 EXACT, ONCE = 256, -1
 
+#: Parts of one that a token's logarithm is rounded to before it is added up: sums of whole numbers are the same in any order and grouping.
+PARTS = 2.0**24
+
 PIECE = "block long, range int, payload binary"
 CODED = "block long, docs binary, tokens binary"
 DEALT = "bucket long, block long, payload binary"
@@ -439,13 +443,15 @@ def _scorer(shared):
             some = np.bincount(of[listed], minlength=contexts) > 0
             # where no symbol is listed, none is after a longer context
             alive, ctx = alive[some[ctx]], ctx[some[ctx]]
-        found, done, rows = np.log10(p), 0, []
+        found, done, rows = np.rint(np.log10(p) * PARTS), 0, []
         for block, columns in parts:
             docs = columns[-1] >> 1
             sums = np.bincount(docs, found[done : done + len(docs)])
             done += len(docs)
             some = np.flatnonzero(sums)
-            rows.append((block, key[0].as_py(), packed(some.astype(np.uint32), sums[some].astype(np.float32))))
+            small = np.abs(sums[some]) < 2**31  # all but those of long texts
+            few, many = some[small], some[~small]
+            rows.append((block, key[0].as_py(), packed(few.astype(np.uint32), sums[few].astype(np.int32), many.astype(np.uint32), sums[many].astype(np.int64))))
         return _tabled(SUMS, rows)
 
     return run
@@ -455,10 +461,12 @@ def _gathered(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """A block's documents with all their sums."""
     rows = sorted(zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0))
     ids, known, _, lengths, seen, base, score = unpacked(rows[0][1])
-    score = score.copy()
+    whole = np.zeros(len(score), np.int64)
     for _, payload in rows[1:]:
-        docs, sums = unpacked(payload)
-        score[docs] += sums
+        few, small, many, large = unpacked(payload)
+        whole[few] += small
+        whole[many] += large
+    score = score + whole / PARTS
     batch = pa.RecordBatch.from_arrays([pa.array(ids, mask=known == 0), *map(pa.array, (lengths + 1, seen, base, score))], names=[f.split()[0] for f in SCORED.split(", ")])
     return pa.Table.from_batches([batch])
 

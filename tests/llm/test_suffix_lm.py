@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillon.llm import suffix_lm
 from tests.llm import fixtures
 
@@ -112,3 +114,11 @@ def test_tree_against_plain_python(spark, monkeypatch, bucket, block):
     assert {len(c) for c, k in states.items() if k} == {1, 2, 3, 4}
     held = [r for i, r in got.items() if i >= 1000 and r.held_out]
     assert held and sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
+
+
+def test_buckets_do_not_change_scores(spark):
+    """To the last bit, over a table in which one line stands in every text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.concat(F.lit("one line that all of them have\n"), "text").alias("text"))
+    want = {r.doc_id: r.score for r in suffix_lm.lm_scores(docs).collect()}
+    for bucket in (20_000, 3000):
+        assert {r.doc_id: r.score for r in suffix_lm.lm_scores(docs, bucket).collect()} == want
