@@ -412,13 +412,13 @@ def _scorer(shared):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         numbers: Numbers = shared.value
-        blocks = table["block"].to_pylist()
-        parts = [(b, unpacked(p)) for b, p in zip(blocks, table["payload"].to_pylist(), strict=True)]
+        parts = [(b.as_py(), unpacked(p.as_buffer())) for b, p in zip(table["block"], table["payload"], strict=True)]
         given = [p for b, p in parts if b < 0]
         parts = sorted((x for x in parts if x[0] >= 0), key=lambda x: x[0])
         if not parts:
             return _tabled(SUMS, [])
         columns = [np.concatenate([p[k] for _, p in parts]) for k in range(DEPTH + 2)]
+        parts = [(b, p[DEPTH + 1]) for b, p in parts]  # the other columns are held once
         windows, symbol, who = columns[:DEPTH], columns[DEPTH], columns[DEPTH + 1]
         training = (who & 1).astype(np.int64)
         p = numbers.root(symbol, training)
@@ -444,8 +444,8 @@ def _scorer(shared):
             # where no symbol is listed, none is after a longer context
             alive, ctx = alive[some[ctx]], ctx[some[ctx]]
         found, done, rows = np.rint(np.log10(p) * PARTS), 0, []
-        for block, columns in parts:
-            docs = columns[-1] >> 1
+        for block, part in parts:
+            docs = part >> 1
             sums = np.bincount(docs, found[done : done + len(docs)])
             done += len(docs)
             some = np.flatnonzero(sums)
