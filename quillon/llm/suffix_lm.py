@@ -55,7 +55,7 @@ DEPTH, LEAST = 4, 2
 #: Divergence that keeps a state, and counts that its suffix stands for.
 DIVERGENCE, PRIOR = 0.01, 5.0
 #: Bytes of texts in a block and in a step of tokenizing; tokens that a bucket is planned for.
-BLOCK, SLICE, BUCKET = 16 << 20, 4 << 20, 1 << 20
+BLOCK, SLICE, BUCKET = 12 << 20, 4 << 20, 1 << 20
 #: Ranges of words' hashes, at most; blocks for each.
 RANGES, BLOCKS = 4096, 2
 #: The end's hash; it is also the context of a text's first word. The number of what is before it, and of words that occur once.
@@ -264,15 +264,15 @@ class Hot:
                 out.append(h)
         return out
 
-    def path(self, windows: list[np.ndarray]) -> list[np.ndarray]:
+    def path(self, windows: list[np.ndarray]) -> Iterator[np.ndarray]:
         """By depth: the node of each token's context, or -1."""
-        out = [np.zeros(len(windows[0]), np.int64)]
+        node = np.zeros(len(windows[0]), np.int64)
         for keys, nodes, word in zip(self.keys, self.nodes, windows, strict=False):
-            wanted = (np.maximum(out[-1], 0).astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
+            wanted = (np.maximum(node, 0).astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            hit = (keys[at] == wanted) & (out[-1] >= 0) & (word != NONE) if len(keys) else np.zeros(len(word), bool)
-            out.append(np.where(hit, nodes[at] if len(nodes) else -1, -1))
-        return out[1:]
+            hit = (keys[at] == wanted) & (node >= 0) & (word != NONE) if len(keys) else np.zeros(len(word), bool)
+            node = np.where(hit, nodes[at] if len(nodes) else -1, -1)
+            yield node
 
 
 def _tokens_of(row) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _hot_counts(shared, end: int, least: int):
             for row in batch.to_pylist():
                 docs, symbol, _ = _tokens_of(row)
                 windows = _windows(symbol, docs[3], end)
-                node, word = hot.path(windows)[-1], windows[len(hot.keys)]
+                node, word = list(hot.path(windows))[-1], windows[len(hot.keys)]
                 some = (node >= 0) & (word != NONE)
                 keys, n = np.unique((node[some].astype(np.uint64) << np.uint64(32)) | word[some], return_counts=True)
                 yield _batch("key long, n long", keys[n >= least].astype(np.int64), n[n >= least])
@@ -306,7 +306,7 @@ def _hot_grams(shared, end: int):
         for batch in batches:
             for row in batch.to_pylist():
                 docs, symbol, of = _tokens_of(row)
-                training, path = docs[2][of] > 0, hot.path(_windows(symbol, docs[3], end))
+                training, path = docs[2][of] > 0, list(hot.path(_windows(symbol, docs[3], end)))
                 keys, roots = [], []
                 for node in path:
                     some = (node >= 0) & training
@@ -387,8 +387,7 @@ def _dealer(shared, end: int, buckets: int):
                 some = np.flatnonzero(windows[0] != NONE)
                 windows, symbol, of = [w[some] for w in windows], symbol[some], of[some]
                 bucket = (mixed(windows[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                path = hot.path(windows)
-                for d, node in enumerate(path, 1):
+                for d, node in enumerate(hot.path(windows), 1):
                     at = np.flatnonzero(node >= 0)
                     by = windows[d][at] if d < DEPTH else symbol[at]
                     bucket[at] = -1 - first[node[at]] - (mixed(by.astype(np.uint64)) % parts[node[at]]).astype(np.int64)
