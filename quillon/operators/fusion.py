@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import key_points
+
 #: Weights of the legs and the rank's offset.
 RRF_WEIGHTS = {"dense": 0.6, "sparse": 0.4, "graph": 0.2}
 RRF_K = 60
@@ -96,3 +98,16 @@ def compressed(results: DataFrame, tokens: int, keep: int = 5) -> DataFrame:
     many = many.withColumn("_spent", F.coalesce(spent, F.lit(0))).filter((F.col("place") == 1) | (F.col("_spent") < budget - 50))
     used = F.when(F.col("_n") <= 3, F.col("cost")).otherwise(F.greatest(F.least("cost", budget - F.col("_spent")), F.lit(0)))
     return few.withColumn("_spent", F.lit(0).cast("long")).unionByName(many).withColumn("used", used).select("query_id", "id", "place", F.col("used").cast("long").alias("used"))
+
+
+def compressed_texts(results: DataFrame, tokens: int, keep: int = 5) -> DataFrame:
+    """(query_id, id, place, used, text): as ``compressed``, with each text cut to whole sentences that fit what its result may use.
+
+    The best sentences of a text come first (``functions.text.key_points``), as long as they fit
+    in four characters a token. Results that pass as they are keep their texts.
+    """
+    taken = compressed(results, tokens, keep)
+    joined = taken.join(results.select("query_id", "id", F.col("text").alias("_text")), ["query_id", "id"])
+    whole = F.ceil(F.length("_text") / 4) <= F.col("used")
+    text = F.when(whole, F.col("_text")).otherwise(key_points(F.col("_text"), F.col("used") * 4))
+    return joined.select("query_id", "id", "place", "used", text.alias("text"))

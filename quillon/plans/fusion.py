@@ -154,6 +154,13 @@ def context_compression(spark, sf_dir):
     return fusion.compressed(dense_leg(spark, sf_dir).join(docs, "id"), 2000)
 
 
+@query()
+def compressed_texts(spark, sf_dir):
+    """The texts themselves, cut to their best sentences under what each result may use."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"), "text")
+    return fusion.compressed_texts(dense_leg(spark, sf_dir).join(docs, "id"), 2000)
+
+
 @query(f"""WITH {sql.BM25}, {DENSE_SQL}, {SPARSE_SQL}, u AS (SELECT 1 AS prio, query_id, id, score FROM dense WHERE rank <= 5 UNION ALL SELECT 2, query_id, id, score FROM sparse WHERE rank <= 5),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY prio) AS n FROM u)
 SELECT query_id, id, prio, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prio, score DESC, id) AS place FROM k WHERE n = 1) WHERE place <= 8""")

@@ -132,3 +132,29 @@ def test_boosted_keeps_edges_without_nodes(spark):
     edges = spark.createDataFrame([(1, 2, 0.5), (1, 9, 0.4), (2, 3, 0.2)], "src long, dst long, weight double")
     nodes = spark.createDataFrame([(1, "c", ["x", "y"]), (2, "c", ["y", "z"]), (3, None, None)], "id long, category string, tags array<string>")
     assert {(r.src, r.dst): round(r.weight, 9) for r in graph.boosted(edges, nodes).collect()} == {(1, 2): 0.75, (1, 9): 0.4, (2, 3): 0.2}
+
+
+# --- texts under a budget ---
+
+
+def test_texts_are_cut_to_whole_sentences(spark):
+    from quillon.functions import text as T
+    from quillon.operators import fusion
+
+    long = ". ".join(f"Sentence number {i} tells of the design and structure of thing {i}" for i in range(60)) + "."
+    rows = [(1, i, f"c{i % 3}", 1.0 - i / 20, long if i % 2 else "Short text. It fits.") for i in range(8)] + [(2, 9, "c", 0.5, long), (2, 10, "c", 0.4, "Two. Three.")]
+    results = spark.createDataFrame(rows, "query_id long, id long, category string, score double, text string")
+    taken = {(r.query_id, r.id): (r.place, r.used) for r in fusion.compressed(results, 1200).collect()}
+    found = {(r.query_id, r.id): r for r in fusion.compressed_texts(results, 1200).collect()}
+    assert found.keys() == taken.keys()
+    texts = {(r[0], r[1]): r[4] for r in rows}
+    sentences = {s.strip() for s in long.split(".")}
+    cut = 0
+    for key, r in found.items():
+        assert (r.place, r.used) == taken[key] and len(r.text) <= max(4 * r.used, len(texts[key]) if 4 * r.used >= len(texts[key]) else 0)
+        if r.text != texts[key]:
+            cut += 1
+            assert set(r.text.split(". ")) <= sentences
+            one = spark.createDataFrame([(texts[key],)], "t string").select(T.key_points(F.col("t"), F.lit(4 * r.used))).first()[0]
+            assert r.text == one
+    assert cut and found[2, 9].text == long  # three results at most pass as they are
