@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillon.functions import vectors
-from quillon.operators import compression, dense
+from quillon.operators import compression, dense, vector_index
 from quillon.plans import register, registry  # noqa: F401
 from quillon.sources import catalog_json as cj
 from quillon.streaming import events as ev
@@ -77,7 +77,7 @@ def test_knn_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 5))
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    monkeypatch.setattr(dense, "BLOCK", 25)
+    monkeypatch.setattr(vector_index, "ROWS", 25)
     got = {(r.query_id, r["rank"]): r.id for r in dense.knn(frame, frame.withColumnRenamed("id", "query_id"), 3).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = np.round(unit @ unit.T, 9)
