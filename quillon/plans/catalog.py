@@ -225,4 +225,4 @@ def recommendation_rows(spark, sf_dir):
 @query("SELECT lower(p_brand) AS name FROM part UNION SELECT lower(n_name) FROM nation EXCEPT SELECT 'france'")
 def set_operations(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.lower("p_brand").alias("name")).union(table(spark, sf_dir, "nation").select(F.lower("n_name"))).distinct()
-    return names.filter("name <> 'france'")
+    return names.subtract(table(spark, sf_dir, "nation").filter("lower(n_name) = 'france'").select(F.lower("n_name").alias("name")))
