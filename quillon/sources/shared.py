@@ -33,3 +33,9 @@ def removed(df: DataFrame) -> None:
     """Deletes what ``materialise`` wrote, once nothing reads it any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
