@@ -6,23 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def floor_percentile(values: Column, p: float) -> Column:
-    """The element at floor(n * p) of the sorted values: neither interpolated nor approximate."""
-    return F.get(F.sort_array(F.collect_list(values)), F.floor(F.count(values) * p).cast("int"))
-
-
-def latency_report(events: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, mean, extremes and floor percentiles of ``value`` by key.
-
-    Exact percentiles gather a key's values; ``approximate_report`` does not.
-    """
-    v = F.col(value)
-    return events.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"),
-        floor_percentile(v, 0.5).alias("p50"), floor_percentile(v, 0.95).alias("p95"), floor_percentile(v, 0.99).alias("p99"),
-    )
-
-
 def ranked_percentiles(events: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Floor percentiles without gathering: equal values are counted first, then ranked by running sums."""
     counted = events.groupBy(*by, value).agg(F.count("*").alias("_c"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import quantiles as qt
 from quillon.operators import telemetry as tm
 from quillon.plans.fusion import FIXED, sparse_leg, SPARSE_SQL
 from quillon.plans import common_sql as sql
 from quillon.plans.register import query, table
+from quillon.sources.shared import materialise
 
 
 def events(spark, sf_dir):
@@ -156,3 +158,27 @@ def adaptive_weights(spark, sf_dir):
 def query_kinds(spark, sf_dir):
     fixed = spark.createDataFrame([(t,) for _, t in FIXED], "text string")
     return fixed.select(F.lower("text").alias("query"), T.query_kind(F.col("text")).alias("kind"))
+
+
+SHARES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+SELECTED = "list_sort(list({0}))[(floor(count({0}) * {1}) + 1)::INTEGER]"
+
+
+@query(f"SELECT l_returnflag AS flag, count(*)::BIGINT AS n, {', '.join(f'{SELECTED.format('l_extendedprice', p)} AS {n}' for n, p in SHARES.items())} FROM lineitem GROUP BY 1")
+def percentiles_ranges(spark, sf_dir):
+    """Exact percentiles of three large keys; ranges are ranked, not keys."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    return qt.exact_percentiles(rows, ["flag"], "l_extendedprice", SHARES)
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS n, true AS p50_near, true AS p95_near, true AS p99_near, true AS distinct_near FROM events GROUP BY 1""")
+def sketched_report(spark, sf_dir):
+    """Whether percentiles and distinct users merged from daily sketches are as near to the exact ones as is stated (ranks 2 %, counts 5 %)."""
+    e = events(spark, sf_dir)
+    daily = materialise(qt.sketched(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value", "user_id"), "sketches")
+    found = qt.estimated(qt.merged(daily, ["event_type"]), SHARES)
+    near = e.join(found, "event_type").groupBy("event_type").agg(
+        F.max("n").alias("n"), *[(qt.rank_error(F.col(name), F.col("value"), p) <= 0.02).alias(f"{name}_near") for name, p in SHARES.items()],
+        (F.abs(F.max("distinct") / F.count_distinct("user_id") - 1) <= 0.05).alias("distinct_near"),
+    )
+    return near
