@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the contracts: maximal runs of anything but ASCII white space.
@@ -82,23 +82,32 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def picked(docs: DataFrame, decided: DataFrame) -> DataFrame:
+def picked(docs: DataFrame, decided: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """The rows of ``docs`` as often as decided, with their texts.
 
-    ``decided``: doc_id, text_key, rows (how many rows of ``docs`` are equal in
-    both) and copies (how often they appear, all together). Columns of ``docs`` may have any names.
+    ``decided``: doc_id, text_key, the columns ``also``, rows (how many rows of
+    ``docs`` are equal in these) and copies (how often they appear, all together). Copies are dealt out
+    evenly among rows that differ in other columns, in the order of a hash of the
+    whole row; reruns agree. Columns of ``docs`` may have any names.
     """
-    wanted = materialise(decided.filter("copies > 0").select("doc_id", "text_key", "rows", F.col("copies").cast("int").alias("copies")), "wanted")
+    keys = ["doc_id", "text_key", *also]
+    wanted = materialise(decided.filter("copies > 0").select(*keys, F.col("rows").cast("long").alias("rows"), F.col("copies").cast("long").alias("copies")), "wanted")
     few = wanted.count() <= MAX_IDS
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # so that no name of theirs is in the way
-    key = F.xxhash64(F.coalesce(F.col("doc.text"), F.lit("")))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce(F.col("doc.text"), F.lit(""))) == F.col("text_key"))
+    for c in also:
+        same = same & F.col(f"doc.{c}").eqNullSafe(F.col(c))
 
     def found(part: DataFrame) -> DataFrame:
-        return held.join(F.broadcast(part) if few else part, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (key == F.col("text_key")))
-
-    repeated = found(wanted.filter("rows > 1")).dropDuplicates(["doc_id", "text_key"])
-    rows = found(wanted.filter("rows = 1")).unionByName(repeated)
-    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+        return held.join(F.broadcast(part) if few else part, same)
+
+    # rows equal in all columns are counted before any is placed, so that no window holds them
+    kinds = found(wanted.filter("rows > 1")).groupBy(*keys, F.sha2(F.to_json("doc"), 256).alias("kind"))
+    kinds = kinds.agg(F.first("doc").alias("doc"), F.first("rows").alias("rows"), F.first("copies").alias("copies"), F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("kind").rowsBetween(Window.unboundedPreceding, 0))
+    dealt = kinds.withColumn("upto", upto).select("doc", F.expr("(copies * upto) div rows - (copies * (upto - n)) div rows").alias("copies"))
+    rows = found(wanted.filter("rows = 1")).select("doc", "copies").unionByName(dealt.filter("copies > 0"))
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
 
 
 def least_hashed(df: DataFrame, n: int, key: Column) -> DataFrame:

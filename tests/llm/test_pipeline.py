@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from quillon.llm import toxicity
-from quillon.llm.common import read_table
+from quillon.llm.common import picked, read_table
 from tests.llm import fixtures
 from tests.llm.test_native_ops import brute_hits
 from tests.llm.test_near_duplicates import brute
@@ -117,3 +117,17 @@ def test_clashing_columns(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert pipeline.run(spark, fixtures.empty(spark, tmp_path)).count() == 0
+
+
+def test_rows_that_differ_elsewhere_stay_themselves(spark):
+    """Copies are dealt among rows equal in id and text; none becomes a copy of another one."""
+    rows = [(1, "same text", "src0", "a"), (1, "same text", "src9", "b"), (1, "same text", "src9", "c"), (2, None, None, "x"), (2, None, None, "x"), (3, "gone", "s", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rows string")
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    equal = docs.withColumn("text_key", key).groupBy("doc_id", "text_key", "source").agg(F.count("*").alias("rows"))
+    for n, want in ((1, rows[:5]), (2, rows[:5] * 2)):
+        decided = equal.withColumn("copies", F.when(F.col("doc_id") == 3, 0).otherwise(n * F.col("rows")))
+        assert Counter(map(tuple, picked(docs, decided, ("source",)).collect())) == Counter(want)
+    decided = equal.groupBy("doc_id", "text_key").agg(F.sum("rows").alias("rows"), F.lit(2).alias("copies")).filter("doc_id < 3")
+    found = [tuple(r) for r in picked(docs, decided).collect()]
+    assert len([r for r in found if r[0] == 1]) == 2 == len({r for r in found if r[0] == 1}) and found.count(rows[3]) == 2
