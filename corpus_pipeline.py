@@ -49,7 +49,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, mixed = mix_sources(sized)
     starts = lambda n: (F.col("at") + n * F.col("source_size") < F.floor("target")).cast("int")
     copies = F.when(F.col("size") > 0, starts(0) + starts(1)).otherwise(1)
-    return picked(docs, mixed.groupBy("doc_id", "text_key").agg(F.sum(copies).alias("copies"), F.count("*").alias("rows")))
+    return picked(docs, mixed.groupBy("doc_id", "text_key", "source").agg(F.sum(copies).alias("copies"), F.count("*").alias("rows")), ("source",))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
