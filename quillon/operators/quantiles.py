@@ -6,8 +6,8 @@ whose running sums tell in which range a rank lies. Only those ranges are
 ranked, each by itself, so that no task holds a key's values, however many it has.
 
 Sketches: one row for each key and unit of time, kept; any span of time is a
-merge of rows. KLL sketches of size ``k`` give ranks within about 1.7 / k of
-the count (0.85 % at the default of 200) and HyperLogLog sketches of 2^lg
+merge of rows. KLL sketches of the default size of 200 give ranks within about
+1.33 % of the count (with 99 % confidence; less for larger sizes) and HyperLogLog sketches of 2^lg
 registers give distinct counts within about 1.04 / 2^(lg / 2) (one standard
 error; 1.6 % at 12).
 
