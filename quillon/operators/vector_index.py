@@ -133,9 +133,11 @@ def exact(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cos
     return _met(vectors, asked, k, metric, least, self_pairs)
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+def nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     """For each row the k nearest centres, the nearest first; ties go to the lowest."""
     far = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+    if k == 1:
+        return far.argmin(1)[:, None]
     return np.argsort(far, axis=1, kind="stable")[:, :k]
 
 
@@ -143,7 +145,7 @@ def fitted_centres(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
     """Lloyd's rounds from evenly spread rows of a sample."""
     centres = x[np.linspace(0, len(x) - 1, n).astype(int)].copy()
     for _ in range(rounds):
-        at = np.concatenate([_nearest(x[i : i + 4096], centres, 1)[:, 0] for i in range(0, len(x), 4096)])
+        at = np.concatenate([nearest(x[i : i + 4096], centres, 1)[:, 0] for i in range(0, len(x), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, at, x)
         count = np.bincount(at, minlength=n)
@@ -151,19 +153,27 @@ def fitted_centres(x: np.ndarray, n: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def sample_of(data: DataFrame) -> pa.Table:
+    """The v of the ``SAMPLE`` rows, or fewer, whose ids have the least hashes."""
+    total = data.count()
+    hashed = F.md5(F.col("id").cast("string"))
+    rows = data if total <= 4 * SAMPLE else data.filter(F.substring(hashed, 1, 8) < f"{int(4 * SAMPLE / total * 2**32):08x}")
+    return rows.orderBy(hashed).limit(SAMPLE).select("v").toArrow()
+
+
 def probes_for(x: np.ndarray, centres: np.ndarray, k: int, recall: float, trials: int = TRIALS) -> int:
     """Cells that have to be probed so that ``recall`` of the sample's exact neighbours are found, over rows spread evenly."""
     asked = np.linspace(0, len(x) - 1, min(trials, len(x))).astype(int)
     k = min(k, len(x) - 1)
     if k < 1:
         return 1
-    cell = np.concatenate([_nearest(x[i : i + 4096], centres, 1)[:, 0] for i in range(0, len(x), 4096)])
-    order = _nearest(x[asked], centres, len(centres))
+    cell = np.concatenate([nearest(x[i : i + 4096], centres, 1)[:, 0] for i in range(0, len(x), 4096)])
+    order = nearest(x[asked], centres, len(centres))
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(centres))[None, :].repeat(len(asked), 0), axis=1)
     wanted = []
@@ -198,12 +208,9 @@ class VectorIndex:
     def make(cls, corpus: DataFrame, path: str, k: int, recall: float, cells: int | None) -> None:
         spark, build = corpus.sparkSession, f"{path}/build-{uuid.uuid4().hex}"
         data = corpus.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("v")).alias("v"))
-        n, total = min(SAMPLE, data.count()), data.count()
-        hashed = F.md5(F.col("id").cast("string"))
-        sample = data if total <= 4 * n else data.filter(F.substring(hashed, 1, 8) < f"{int(4 * n / total * 2**32):08x}")
-        rows = sample.orderBy(hashed).limit(n).select("v").toArrow()  # SAMPLE rows at most
+        total, rows = data.count(), sample_of(data)
         d = len(rows["v"][0]) if rows.num_rows else 0
-        x = _unit(_matrix(rows["v"].combine_chunks(), d)) if d else np.zeros((0, 0))
+        x = unit(_matrix(rows["v"].combine_chunks(), d)) if d else np.zeros((0, 0))
         many = min(len(x), cells or max(1, min(2048, int(4 * np.sqrt(len(x)) * max(1.0, (total / max(1, len(x))) ** 0.25)), len(x) // 8 or 1)))
         centres = fitted_centres(x, many) if d else x
         probes = probes_for(x, centres, k, recall) if d else 1
@@ -213,7 +220,7 @@ class VectorIndex:
             for batch in batches:
                 for first in range(0, len(batch), 2048):
                     part = batch.iloc[first : first + 2048]
-                    yield part.assign(cell=_nearest(_unit(np.array(part["v"].tolist(), float)), shared.value, 1)[:, 0].astype(np.int32))
+                    yield part.assign(cell=nearest(unit(np.array(part["v"].tolist(), float)), shared.value, 1)[:, 0].astype(np.int32))
 
         celled = data.mapInPandas(placed, "id long, v array<double>, cell int") if d else data.withColumn("cell", F.lit(0))
         celled.withColumn("group", F.col("cell") % GROUPS).repartition("group", F.pmod(F.xxhash64("id"), F.lit(max(1, total // 10**6)))).write.partitionBy("group").parquet(f"{build}/cells")
@@ -231,7 +238,7 @@ class VectorIndex:
             for batch in batches:
                 for first in range(0, len(batch), 1024):
                     part = batch.iloc[first : first + 1024]
-                    cells = _nearest(_unit(np.array(part["v"].tolist(), float)), shared.value, probes)
+                    cells = nearest(unit(np.array(part["v"].tolist(), float)), shared.value, probes)
                     yield part.loc[part.index.repeat(cells.shape[1])].assign(cell=cells.ravel().astype(np.int32))
 
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), V.doubles(F.col("v")).alias("v"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators import dense as dn
+from quillon.operators.code_index import CodeIndex
 from quillon.operators.inverted_index import fingerprint
 from quillon.operators.vector_index import VectorIndex
 from quillon.sources.shared import shared_dir
@@ -67,6 +68,62 @@ def ann_recall(spark, sf_dir):
     return asked.join(F.broadcast(counts)).select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
 
 
+def kept_codes(spark, sf_dir, kind):
+    """The kept codes of the vectors; the first query that needs them makes them."""
+    v = vectors(spark, sf_dir)
+    return CodeIndex.ensure(v, f"{shared_dir(spark)}/code-index-{kind}-{fingerprint(v)}", kind)
+
+
+def by_codes(spark, sf_dir, kind, margin=None):
+    v = vectors(spark, sf_dir)
+    return kept_codes(spark, sf_dir, kind).search(v, v.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), 10, margin)
+
+
+HUNDREDTH = f"WITH {PAIRS.format(COSINE, 'AND a.vec_id % 100 = 0')} SELECT query_id, id, score, rank FROM r WHERE rank <= 10"
+
+
+@query(HUNDREDTH)
+def codes_cosine_exact(spark, sf_dir):
+    """All true neighbours by way of product codes and their errors."""
+    return by_codes(spark, sf_dir, "product", 1.0)
+
+
+@query(HUNDREDTH)
+def byte_codes_cosine(spark, sf_dir):
+    """All true neighbours by way of a byte for each place."""
+    return by_codes(spark, sf_dir, "bytes", 1.0)
+
+
+@query()
+def codes_cosine(spark, sf_dir):
+    """Neighbours by product codes with the margin measured for them."""
+    return by_codes(spark, sf_dir, "product")
+
+
+@query("SELECT count(*)::BIGINT AS queries, (count(*) * least(10, (SELECT count(*) - 1 FROM embeddings)))::BIGINT AS wanted, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def codes_recall(spark, sf_dir):
+    """Whether the search by codes with their own margin finds nine tenths of the exact neighbours."""
+    v = vectors(spark, sf_dir)
+    asked = v.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    true = dn.knn(v, asked, 10).select("query_id", "id")
+    found = by_codes(spark, sf_dir, "product").select("query_id", "id", F.lit(1).alias("found"))
+    counts = true.join(found, ["query_id", "id"], "left").agg(F.count("*").alias("wanted"), F.count("found").alias("found"))
+    return asked.agg(F.count("*").alias("queries")).join(F.broadcast(counts)).select("queries", "wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
+@query("SELECT kind, count(*)::BIGINT AS n, (count(*) * 256)::BIGINT AS bytes_before, (count(*) * width)::BIGINT AS bytes_after, true AS as_stated FROM embeddings, (VALUES ('product', 8), ('bytes', 64)) f(kind, width) GROUP BY kind, width")
+def codes_restored(spark, sf_dir):
+    """Vectors restored from codes: as far from the true ones as the codes say."""
+    v, out = vectors(spark, sf_dir), None
+    for kind in ("product", "bytes"):
+        index = kept_codes(spark, sf_dir, kind)
+        met = index.restored().withColumnRenamed("v", "r").join(v, "id").join(index.codes.select("id", F.length("codes").alias("bytes")), "id")
+        off = F.abs(V.distance(V.unit(F.col("v")), F.col("r")) - F.col("error"))
+        one = met.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(F.size("v").cast("long") * 4).alias("bytes_before"), F.sum("bytes").alias("bytes_after"), F.every(off < 1e-9).alias("as_stated"))
+        out = one if out is None else out.unionByName(one)
+    return out.filter("n > 0")
+
+
 @query(f"WITH {PAIRS.format(COSINE, 'AND a.vec_id = 7')} SELECT id, score, rank FROM r WHERE rank <= 5")
 def similar_by_id(spark, sf_dir):
     v = vectors(spark, sf_dir)
