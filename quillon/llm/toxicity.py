@@ -305,13 +305,16 @@ def learned(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
     if not model.known:
         return nothing
     first = spark.sparkContext.broadcast(model)
+    del model  # the driver holds one model at a time
     rest = sample.filter(apart).select("toxic", "text").mapInArrow(_scorer(first, None), "toxic int, by_word double, length double").toArrow()
     first.destroy()
     y, x = np.array(rest["toxic"].to_pylist(), float), np.column_stack([rest["by_word"].to_numpy(), rest["length"].to_numpy()])
     if not 0 < y.sum() < len(y):
         return nothing
     order = np.lexsort((*x.T, y))
-    return Toxicity(spark.sparkContext.broadcast(estimated(sample)), fitted_logistic(x[order], y[order]))
+    second = spark.sparkContext.broadcast(estimated(sample))
+    pa.default_memory_pool().release_unused()  # what the counts took on their way
+    return Toxicity(second, fitted_logistic(x[order], y[order]))
 
 
 def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
