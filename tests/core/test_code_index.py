@@ -97,3 +97,13 @@ def test_made_once(spark, tmp_path):
     first = ci.CodeIndex.ensure(df, str(tmp_path / "codes"))
     lost = df.withColumn("v", F.raise_error(F.lit("read again")).cast("array<double>"))
     assert ci.CodeIndex.ensure(lost, str(tmp_path / "codes")).codes.count() == first.codes.count() == len(x)
+
+
+def test_candidates_are_ranked_where_they_are_found(spark, tmp_path, monkeypatch):
+    """With a margin of 1 nearly all pairs are candidates; they are never rows of a table."""
+    df, x = table(spark)
+    index = ci.CodeIndex.ensure(df, str(tmp_path / "codes"))
+    monkeypatch.setattr(ci, "VECTORS", 100 * 20 * 8)  # parts of a hundred vectors
+    monkeypatch.setattr(ci.CodeIndex, "candidates", lambda *_: pytest.fail("candidates as rows"))
+    some = [0, 5, 17, 602]
+    assert found(index.search(df, asked_of(df, *some), 10, margin=1.0)) == truth(x, some, 10)
