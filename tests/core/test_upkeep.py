@@ -134,6 +134,20 @@ def test_boosted_keeps_edges_without_nodes(spark):
     assert {(r.src, r.dst): round(r.weight, 9) for r in graph.boosted(edges, nodes).collect()} == {(1, 2): 0.75, (1, 9): 0.4, (2, 3): 0.2}
 
 
+def test_pairs_of_a_group_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBERS", 7)
+    rng = random.Random(3)
+    nodes = spark.createDataFrame([(i, rng.choice([1, 2, None])) for i in range(60)], "id long, group int")
+    edges = spark.createDataFrame([(a, b, 0.5 + a / 100) for a, b in {(rng.randrange(65), rng.randrange(65)) for _ in range(150)}], "src long, dst long, weight double")
+    want = {(r.src, r.dst): round(r.weight, 9) for r in graph.combined(edges, graph.shared_group_edges(nodes, 0.15)).collect()}
+    for most in (10**6, 0):
+        monkeypatch.setattr(graph, "MAX_MEMBERS", most)
+        found = graph.with_group_edges(edges, nodes, 0.15)
+        got = found.collect()
+        assert len(got) == len(want) and {(r.src, r.dst): round(r.weight, 9) for r in got} == want
+        assert "keys=[src" not in found._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+
+
 # --- texts under a budget ---
 
 
