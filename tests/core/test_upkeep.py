@@ -148,6 +148,25 @@ def test_pairs_of_a_group_are_not_shuffled(spark, monkeypatch):
         assert "keys=[src" not in found._jdf.queryExecution().executedPlan().toString().split("Union")[0]
 
 
+def test_tagged_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MEMBERS", 3)
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["x", "y", None]), rng.choice([["a", "b"], ["b", "c", "a"], ["c", "d"], ["a"], ["a", "a", "b"], [None, "c", "a", "b"], None])) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id long, category string, tags array<string>")
+    links = {(a, b): 0.5 + a / 100 for a, b in {(rng.randrange(43), rng.randrange(43)) for _ in range(80)}}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src long, dst long, weight double")
+    at = {i: (c, set(t or []) - {None}) for i, c, t in rows}
+    want = {p: round(r, 9) for p, r in ((tuple(x[:2]), x[2]) for x in graph.boosted(edges, nodes).collect())}
+    for a, (ca, ta) in at.items():
+        for b, (cb, tb) in at.items():
+            if a != b and (a, b) not in links and len(ta & tb) >= 2:
+                want[a, b] = round(0.15 * (ca is not None and ca == cb) + 0.1 * len(ta & tb), 9)
+    for most in (10**6, 0):
+        monkeypatch.setattr(graph, "MAX_MEMBERS", most)
+        got = graph.tagged(edges, nodes, 2).collect()
+        assert len(got) == len(want) and {(r.src, r.dst): round(r.weight, 9) for r in got} == want
+
+
 # --- texts under a budget ---
 
 
