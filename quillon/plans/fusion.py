@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import analysis, dense, fusion, lexical
+from quillon.operators import analysis, dense, fusion
 from quillon.plans import common_sql as sql
 from quillon.plans.dense import vectors
-from quillon.plans.lexical import batch, corpus, index
+from quillon.plans.lexical import batch, index
 from quillon.plans.register import query, table
 
 FIXED = [
@@ -79,9 +79,7 @@ def dense_leg(spark, sf_dir, k: int = 10):
 
 
 def sparse_leg(spark, sf_dir, k: int = 10):
-    docs = corpus(spark, sf_dir)
-    scores = lexical.minmax(index(spark, sf_dir).bm25(batch(spark, sf_dir)), docs)
-    return lexical.top_k(scores.select("query_id", "id", F.round("norm", 9).alias("score")), k)
+    return index(spark, sf_dir).best(batch(spark, sf_dir), k).withColumnRenamed("norm", "score")
 
 
 BLEND_SQL = f"""WITH {sql.BM25}, {ALPHA}, {DENSE_SQL}, {SPARSE_SQL},

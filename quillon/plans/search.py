@@ -79,11 +79,9 @@ def details_with_fallback(spark, sf_dir):
 @query(f"""WITH {sql.BM25}, l AS (SELECT lang, query_id, id, round(norm, 9) AS norm FROM m JOIN documents d ON d.doc_id = m.id)
 SELECT query_id, lang, count(*)::BIGINT AS hits, max(norm) AS best FROM l GROUP BY ALL""")
 def search_facets(spark, sf_dir):
-    from quillon.operators import lexical
-    from quillon.plans.lexical import batch, corpus, index
+    from quillon.plans.lexical import batch, index
 
-    docs = corpus(spark, sf_dir)
-    scores = lexical.minmax(index(spark, sf_dir).bm25(batch(spark, sf_dir)), docs).select("query_id", "id", F.round("norm", 9).alias("norm"))
+    scores = index(spark, sf_dir).minmax(batch(spark, sf_dir)).select("query_id", "id", F.round("norm", 9).alias("norm"))
     lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
     return scores.join(lang, "id").groupBy("query_id", "lang").agg(F.count("*").alias("hits"), F.max("norm").alias("best"))
 

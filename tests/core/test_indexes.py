@@ -93,6 +93,29 @@ def test_sparse_index_equals_tfidf(spark, tmp_path):
         assert got.keys() == want.keys() and np.allclose([got[x] for x in want], [want[x] for x in want])
 
 
+@pytest.mark.parametrize("cells", [4_000_000, 60])
+def test_best_by_chunks_equals_all_scores(spark, tmp_path, monkeypatch, cells):
+    """The first of each query come from products of chunks; no posting and no score is shuffled."""
+    monkeypatch.setattr(ii, "CHUNK", 32)
+    monkeypatch.setattr(ii, "CELLS", cells)
+    docs, words = texts(spark)
+    twice = docs.unionByName(docs.filter("id < 200").withColumn("id", F.col("id") + 1000))  # copies tie
+    index, asked = ii.InvertedIndex.ensure(twice, path=str(tmp_path / "index")), queries(spark, words)
+    norms = lx.minmax(lx.bm25(twice, asked), twice)
+    only = twice.filter("id % 3 = 0").select("id")
+    for least, most, some in ((None, float("inf"), None), (0.05, 0.9, only)):
+        capped = norms.withColumn("norm", F.round(F.least("norm", F.lit(most)), 9))
+        capped = capped if some is None else capped.join(some, "id", "left_semi").filter(F.col("norm") >= least)
+        want = sorted((r.query_id, r["rank"], r.id, r.norm) for r in lx.top_k(capped, 5, "norm").collect())
+        found = index.best(asked, 5, least, most, some)
+        assert sorted((r.query_id, r["rank"], r.id, r.norm) for r in found.collect()) == want
+    assert {r.id for r in index.places.collect()} == {r.id for r in twice.collect()}
+    got = {(r.query_id, r.id): round(r.norm, 9) for r in index.minmax(asked).collect()}
+    assert got == {(r.query_id, r.id): round(r.norm, 9) for r in norms.collect()}
+    monkeypatch.setattr(lx, "MAX_TERMS", 0)  # a batch too large to broadcast
+    assert sorted((r.query_id, r["rank"], r.id, r.norm) for r in index.best(asked, 5, 0.05, 0.9, only).collect()) == want
+
+
 # --- vectors ---
 
 
