@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,66 @@ def test_best_by_chunks_equals_all_scores(spark, tmp_path, monkeypatch, cells):
     assert sorted((r.query_id, r["rank"], r.id, r.norm) for r in index.best(asked, 5, 0.05, 0.9, only).collect()) == want
 
 
+@pytest.mark.parametrize("kind", ["bm25", "sparse"])
+def test_words_of_bytes_are_the_words_of_columns(spark, kind):
+    odd = ["\u212aelvin \u0130stanbul", "a_b ab_ _ab", "x\x00abc\x0bdef\x1cghi", "caf\u00e9s na\u00efve", "the AND for with from theme", "abc", "ab", "", None, "def", "\u03a3\u0391\u03a3 \U0001f600abc", "no-op's 12345"]
+    rng = random.Random(3)
+    odd += ["".join(rng.choices("abcXYZ09_-., \n\t\u00e9\u0130\u212a\u4e2d\x00", k=rng.randint(0, 40))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(odd)), "id long, text string").coalesce(1)
+    rows = docs.select("id", F.lower("text").alias("low"), F.coalesce(ii.TOKENS[kind](F.col("text")), F.array()).alias("t")).orderBy("id").collect()
+    low = pa.array([r.low for r in rows], pa.string())
+    for some, part in ((low, rows), (low.slice(5, 60), rows[5:65])):
+        doc, words = ii.words_of(some, kind)
+        assert list(zip(doc.tolist(), words.cast(pa.large_string()).to_pylist(), strict=True)) == [(i, w) for i, r in enumerate(part) for w in r.t]
+
+
+def written_by_shuffles(spark, run):
+    """Records that the stages of ``run`` write into shuffles, at most in a stage."""
+    store = spark._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    before = stages()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return max((n for s, n in stages().items() if s not in before), default=0)
+
+
+def test_a_build_shuffles_counts_of_terms_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ii, "CHUNK", 16)
+    docs, _ = texts(spark, 2000)
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    most = written_by_shuffles(spark, lambda: ii.InvertedIndex.ensure(docs, path=str(tmp_path / "index")))
+    index = ii.InvertedIndex.ensure(docs, path=str(tmp_path / "index"))
+    assert index.terms.count() <= most < index.blocks.count() / 4
+
+
+def test_a_batch_reads_the_blocks_once(spark, tmp_path, monkeypatch):
+    """Ranges and first hits come from one pass; of many copies no more than k are sent."""
+    docs, words = texts(spark)
+    copies = docs.filter("id < 20").crossJoin(spark.range(40).withColumnRenamed("id", "c")).select((F.col("id") + 10_000 * (F.col("c") + 1)).alias("id"), "text")
+    whole = docs.unionByName(copies)
+    index, asked = ii.InvertedIndex.ensure(whole, path=str(tmp_path / "index")), queries(spark, words)
+    passes, products = [], ii.InvertedIndex._products
+    monkeypatch.setattr(ii.InvertedIndex, "_products", lambda self, *a: passes.append(products(self, *a)) or passes[-1])
+    norms = lx.minmax(lx.bm25(whole, asked), whole).withColumn("norm", F.round(F.least("norm", F.lit(0.5)), 9))
+    found = index.best(asked, 3, most=0.5)
+    want = sorted((r.query_id, r["rank"], r.id, r.norm) for r in lx.top_k(norms, 3, "norm").collect())
+    assert sorted((r.query_id, r["rank"], r.id, r.norm) for r in found.collect()) == want
+    assert len(passes) == 1
+
+
+def test_the_same_score_everywhere_is_one(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(50)], "id long, text string")
+    index = ii.InvertedIndex.ensure(docs, path=str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "words"), (2, "absent")], "query_id long, text string")
+    assert [(r.query_id, r.id, r.norm) for r in index.best(asked, 4).orderBy("rank").collect()] == [(1, i, 1.0) for i in range(4)]
+
+
 # --- vectors ---
 
 
