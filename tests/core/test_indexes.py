@@ -177,7 +177,7 @@ def test_the_same_score_everywhere_is_one(spark, tmp_path):
     assert [(r.query_id, r.id, r.norm) for r in index.best(asked, 4).orderBy("rank").collect()] == [(1, i, 1.0) for i in range(4)]
 
 
-def test_reasons_shuffle_no_text(spark, tmp_path):
+def test_reasons_shuffle_no_text(spark, tmp_path, request):
     """Texts of hits are picked where they are read (bm25_reasons, keyword_strength)."""
     from quillon.plans.lexical import bm25_reasons
 
@@ -185,6 +185,8 @@ def test_reasons_shuffle_no_text(spark, tmp_path):
     docs.select(F.col("id").alias("doc_id"), "text", F.lit("src1").alias("source")).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, f"{words[3]} {words[200]}"), (2, words[40])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     ii.InvertedIndex.ensure(spark.read.parquet(str(tmp_path / "documents.parquet")).select(F.col("doc_id").alias("id"), "text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table that is not small
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     rows = []
     most = written_by_shuffles(spark, lambda: rows.extend(bm25_reasons(spark, str(tmp_path)).collect()))
     assert len(rows) == 6 and all("Description mentions" in r.reasons for r in rows)
