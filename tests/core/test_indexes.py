@@ -170,6 +170,20 @@ def test_a_batch_reads_the_blocks_once(spark, tmp_path, monkeypatch):
     assert len(passes) == 1
 
 
+def test_a_filter_meets_its_chunks_in_any_partition(spark, tmp_path, monkeypatch, request):
+    """Blocks and the documents that may be found are as many partitions as their sizes make them; a chunk's rows meet all the same (keyword_search_filtered)."""
+    for name, value in (("spark.sql.shuffle.partitions", "40"), ("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b"), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")):
+        request.addfinalizer(lambda name=name, was=spark.conf.get(name, None): spark.conf.unset(name) if was is None else spark.conf.set(name, was))
+        spark.conf.set(name, value)
+    monkeypatch.setattr(ii, "CHUNK", 16)
+    docs, words = texts(spark, 2000)
+    index, asked, only = ii.InvertedIndex.ensure(docs, path=str(tmp_path / "index")), queries(spark, words), docs.filter("id % 3 = 0").select("id")
+    norms = lx.minmax(lx.bm25(docs, asked), docs).withColumn("norm", F.round(F.least("norm", F.lit(0.9)), 9)).join(only, "id", "left_semi").filter("norm >= 0.05")
+    want = sorted((r.query_id, r["rank"], r.id, r.norm) for r in lx.top_k(norms, 5, "norm").collect())
+    assert len(want) > 15
+    assert sorted((r.query_id, r["rank"], r.id, r.norm) for r in index.best(asked, 5, 0.05, 0.9, only).collect()) == want
+
+
 def test_the_same_score_everywhere_is_one(spark, tmp_path):
     docs = spark.createDataFrame([(i, "same words here") for i in range(50)], "id long, text string")
     index = ii.InvertedIndex.ensure(docs, path=str(tmp_path / "index"))
