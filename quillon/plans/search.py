@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quillon.operators import fusion as fu
 from quillon.operators import fuzzy as fz
+from quillon.operators import lexical as lx
 from quillon.plans import common_sql as sql
 from quillon.plans.dense import vectors
 from quillon.plans.fusion import BLEND_SQL, DENSE_SQL, RRF_SQL, SPARSE_SQL, blended, dense_leg, fused, sparse_leg
 from quillon.plans.register import query, table
+from quillon.sources.shared import materialise
 
 FLAGSHIP_SQL = f"""{BLEND_SQL},
 details AS (SELECT doc_id AS id, source AS category, lang, substr(text, 1, 40) AS name FROM documents),
@@ -53,7 +55,9 @@ def blended_rag(spark, sf_dir):
 @query()
 def blended_rag_diverse(spark, sf_dir):
     """The fused list, chosen for relevance and difference; documents without a vector are not candidates."""
-    found = blended_rag(spark, sf_dir).join(vectors(spark, sf_dir), "id")
+    # a batch has few first hits: the vectors stay where they are read
+    hits = materialise(blended_rag(spark, sf_dir).select("query_id", "id", "score"), "hits")
+    found = vectors(spark, sf_dir).join(lx.sized_broadcast(hits), "id")
     return fu.mmr(found.select("query_id", "id", "score", "v"), keep=5)
 
 

@@ -207,6 +207,22 @@ def test_reasons_shuffle_no_text(spark, tmp_path, request):
     assert most < 3000
 
 
+def test_diverse_hits_shuffle_no_vector(spark, tmp_path, request):
+    """Vectors of hits are picked where they are read (blended_rag_diverse)."""
+    from quillon.plans.search import blended_rag_diverse
+
+    docs, words = texts(spark, 200)
+    docs.select(F.col("id").alias("doc_id"), "text", F.lit("src1").alias("source")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, f"{words[3]} {words[200]}"), (2, words[40])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clouds(300))], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table that is not small
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    found = blended_rag_diverse(spark, str(tmp_path))
+    assert sorted((r.query_id, r.place) for r in found.collect()) == [(q, p) for q in (1, 2) for p in range(1, 6)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "strategy=broadcast" in plan
+
+
 # --- vectors ---
 
 
