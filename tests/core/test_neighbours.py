@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillon.operators import dense, vector_index
+from quillon.operators import dense, graph_refresh, vector_index
 from quillon.plans import register, registry  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,3 +69,26 @@ def test_parts_meet_in_a_grid(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["graph_augmented", "two_hop_neighbors", "graph_walk_scores"])
 def test_edges_are_made_once(spark, name):
     assert "MapInArrow" not in register.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deeper_lists_are_not_made_anew(spark, monkeypatch):
+    """Deltas of a tenth: the lists equal new ones in their first entries, and hardly more than the fresh nodes are searched for."""
+    rng, asked = np.random.default_rng(7), []
+    frame = lambda x: spark.createDataFrame([(int(i), v.tolist()) for i, v in x.items()], "id long, v array<double>")
+    state = {i: rng.standard_normal(6) for i in range(300)}
+    kept, now = graph_refresh.lists(frame(state), 10, -2), frame(state)
+    real = graph_refresh.knn
+    monkeypatch.setattr(graph_refresh, "knn", lambda v, q, *a, **b: asked.append((v.count(), q.count())) or real(v, q, *a, **b))
+    for step in range(3):
+        gone = sorted(rng.choice(list(state), 30, replace=False).tolist())
+        fresh = {} if step == 1 else {int(i): rng.standard_normal(6) for i in [*rng.choice([i for i in state if i not in gone], 10, replace=False), 500 + step]}
+        state = {i: v for i, v in state.items() if i not in gone} | fresh
+        asked.clear()
+        kept, now = graph_refresh.renewed(kept, now, frame(fresh), spark.createDataFrame([(i,) for i in gone], "id long"), 5, 10, -2)
+        assert step > 0 or sum(q for v, q in asked if v > len(fresh)) < 30
+        got = sorted(map(tuple, graph_refresh.best(kept, 5).collect()))
+        assert got == sorted(map(tuple, real_graph(real, frame(state), 5).collect()))
+
+
+def real_graph(knn, v, k):
+    return knn(v, v.withColumnRenamed("id", "query_id"), k, least=-2).selectExpr("query_id src", "id dst", "score weight")
