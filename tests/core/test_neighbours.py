@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillon.operators import dense, graph_refresh, vector_index
+from quillon.operators import dense, graph, graph_refresh, vector_index
 from quillon.plans import register, registry  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -92,3 +92,15 @@ def test_deeper_lists_are_not_made_anew(spark, monkeypatch):
 
 def real_graph(knn, v, k):
     return knn(v, v.withColumnRenamed("id", "query_id"), k, least=-2).selectExpr("query_id src", "id dst", "score weight")
+
+
+def test_pairs_are_dealt_to_many_tasks(spark):
+    """Nodes are little data and make many pairs: their deal isn't left to the data's size, and an edge's pair comes once."""
+    nodes = spark.createDataFrame([(i, i % 2, "ab"[i % 2], ["x", "y", "z"[: i % 2]]) for i in range(40)], "id long, group int, category string, tags array<string>")
+    edges = spark.createDataFrame([(0, 2, 0.5), (2, 0, 0.25), (0, 1, 0.125)], "src long, dst long, weight double")
+    grouped, tagged = graph.with_group_edges(edges, nodes.select("id", "group"), 0.5), graph.tagged(edges, nodes.drop("group"), 2)
+    for found in (grouped, tagged):
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r.src, r.dst, r.weight) for r in grouped.collect()]
+    assert len(got) == len(set(got)) == 2 * 190 + 2 and {(0, 2, 1.0), (2, 0, 0.25), (0, 1, 0.125)} <= set(got)
+    assert tagged.count() == tagged.select("src", "dst").distinct().count() == 40 * 39
